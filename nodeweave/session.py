@@ -23,6 +23,7 @@ def local_session(cpus: str | int = "*", app: str = "nodeweave", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
     )
