@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nodeweave.llm.ann import nearest_vectors
 from nodeweave.llm.near_dups import near_duplicate_groups, pairs_of, words_of
-from nodeweave.sources.tables import table
+from nodeweave.llm.splits import assign_splits, linked_groups
+from nodeweave.sources.tables import latest, table
 
 
 def _p1_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -25,8 +29,76 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return _p1_groups(spark, d)
 
 
+#: Fields of problem 2: name, column, dimensions, least cosine.
+VECTORS = (("summary", "summary_vector", 32, 0.97), ("traversal", "traversal_vector", 16, 0.998), ("full", "full_vector", 64, 0.90))
+
+
+def _p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    parts = []
+    for name, column, dims, least in VECTORS:
+        now = latest(table(spark, d, "node_frame"), ["node_id"], ["version"], [column])
+        parts.append(nearest_vectors(now, "node_id", column, dims, k=5, min_cos=least).withColumn("vec", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The up to 5 most similar nodes of every current node in each vector field, with cosine and rank."""
+    return _p2_nearest(spark, d).select("vec", "id", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of which at least one is among the other's 5 most similar and that reach the field's least cosine."""
+    return _p2_nearest(spark, d).select("vec", F.least("id", "neighbour").alias("node_a"), F.greatest("id", "neighbour").alias("node_b")).distinct()
+
+
+def _spelling(col: F.Column) -> F.Column:
+    """Lower case, one ``_`` between words."""
+    return F.regexp_replace(F.regexp_replace(F.lower(col), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def _p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "teacher_episode").select("id", "expected_topic").distinct()
+    own = _spelling(F.regexp_extract("id", r"(?i)^(.*?)-[vq][0-9]+", 1))
+    query = _spelling(F.regexp_extract("id", r"(?i)-v[0-9]+-(.+)$", 1))
+    split_at = r"^([^:/]*[A-Za-z0-9][^:/]*)[:/]+(.*)$"
+    led = F.col("expected_topic").rlike(split_at)
+    domain = F.when(led, _spelling(F.regexp_extract("expected_topic", split_at, 1))).otherwise(own)
+    topic = F.when(led, _spelling(F.regexp_extract("expected_topic", split_at, 2))).otherwise(_spelling(F.col("expected_topic")))
+    keyed = e.select(
+        "id",
+        F.when(topic != "", F.concat(F.lit("1"), domain, F.lit(":"), topic)).alias("by_topic"),
+        F.when(query != "", F.concat(F.lit("2"), own, F.lit(":"), query)).alias("by_query"),
+    )
+    groups = linked_groups(keyed, "id", ["by_topic", "by_query"])
+    return groups.select("id", F.when(F.col("group").startswith("1"), F.substring("group", 2, 1_000_000)).alias("group_key"), "group")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every episode with the smallest domain:topic of its group."""
+    return _p3_groups(spark, d).select("id", "group_key")
+
+
+def p3_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Every episode with its group and new split."""
+    return assign_splits(_p3_groups(spark, d).select("id", "group"), table(spark, d, "split_plan"))
+
+
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, groups and share of each new split beside the wanted share."""
+    got = p3_splits(spark, d).groupBy("split").agg(F.count("*").alias("episodes"), F.countDistinct("group").alias("groups"))
+    total = got.agg(F.sum("episodes").alias("total"))
+    return got.join(F.broadcast(table(spark, d, "split_plan")), "split", "right").join(F.broadcast(total)).select(
+        "split", F.coalesce("episodes", F.lit(0)).alias("episodes"), F.coalesce("groups", F.lit(0)).alias("groups"),
+        F.round(F.coalesce("episodes", F.lit(0)) / F.col("total"), 4).alias("share"), F.col("share").alias("wanted"),
+    )
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_groups": p1_groups}
+    return {
+        "p1_found": p1_found, "p1_groups": p1_groups,
+        "p2_found": p2_found, "p2_nearest": p2_nearest,
+        "p3_found": p3_found, "p3_splits": p3_splits, "p3_shares": p3_shares,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
