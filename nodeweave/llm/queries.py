@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nodeweave.llm.ann import nearest_vectors
+from nodeweave.llm.leaks import leaked_items
 from nodeweave.llm.near_dups import near_duplicate_groups, pairs_of, words_of
+from nodeweave.llm.overlap import set_overlaps, vector_overlaps
+from nodeweave.llm.packing import CAPACITY, pack, token_counts
+from nodeweave.llm.reading import reading_level
 from nodeweave.llm.splits import assign_splits, linked_groups
+from nodeweave.session import stage
 from nodeweave.sources.tables import latest, table
 
 
@@ -86,18 +91,114 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
 def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     """Rows, groups and share of each new split beside the wanted share."""
     got = p3_splits(spark, d).groupBy("split").agg(F.count("*").alias("episodes"), F.countDistinct("group").alias("groups"))
-    total = got.agg(F.sum("episodes").alias("total"))
-    return got.join(F.broadcast(table(spark, d, "split_plan")), "split", "right").join(F.broadcast(total)).select(
+    # one row for each of the plan's few splits
+    total = F.sum("episodes").over(Window.partitionBy(F.lit(1)))
+    return table(spark, d, "split_plan").join(got, "split", "left").select(
         "split", F.coalesce("episodes", F.lit(0)).alias("episodes"), F.coalesce("groups", F.lit(0)).alias("groups"),
-        F.round(F.coalesce("episodes", F.lit(0)) / F.col("total"), 4).alias("share"), F.col("share").alias("wanted"),
+        F.round(F.coalesce("episodes", F.lit(0)) / total, 4).alias("got"), F.col("share").alias("wanted"),
     )
 
 
+def _first_delivery(df: DataFrame) -> DataFrame:
+    return df.dropDuplicates(["id"])
+
+
+def _p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "teacher_episode")
+    query = _first_delivery(e.select("id", "split", words_of("query").alias("words")))
+    listed = F.transform("candidates", lambda c: F.when(c["node_summary"].isNotNull(), F.array_join(F.regexp_extract_all(F.lower(c["node_summary"]), F.lit("[a-z0-9]+"), F.lit(0)), " ")))
+    members = _first_delivery(e.select("id", "split", F.array_distinct(F.filter(listed, lambda x: x.isNotNull() & (x != ""))).alias("members")))
+    cases = _first_delivery(table(spark, d, "traversal_ranking").select("id", "split", "query"))
+    return (
+        set_overlaps(query, "id", "split", "words", 0.70).withColumn("kind", F.lit("query"))
+        .unionByName(set_overlaps(members, "id", "split", "members", 0.70, least=4).withColumn("kind", F.lit("candidates")))
+        .unionByName(vector_overlaps(cases, "id", "split", "query", 32, 0.995).withColumn("kind", F.lit("ranking")))
+    )
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a train and an evaluation record that are the same or nearly so."""
+    return _p5_pairs(spark, d).select("kind", "id_a", "id_b")
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    """By kind, evaluation split and source: evaluation records, and how many also stand in train."""
+    pairs = stage(_p5_pairs(spark, d).select("kind", "id_a", "id_b"), "pairs")
+    hit = pairs.select("kind", F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    name = F.lower(F.trim("split"))
+    split = F.when(name.isin("validation", "val"), "validation").when(name == "test", "test")
+    records = None
+    for t, kinds in (("teacher_episode", ("query", "candidates")), ("traversal_ranking", ("ranking",))):
+        own = _first_delivery(table(spark, d, t).select("id", "split", "source")).select("id", split.alias("split"), "source").filter("split is not null")
+        for kind in kinds:
+            part = own.withColumn("kind", F.lit(kind))
+            records = part if records is None else records.unionByName(part)
+    return records.join(hit.withColumn("hit", F.lit(1)), ["kind", "id"], "left").groupBy("kind", "split", "source").agg(F.count("*").alias("records"), F.coalesce(F.sum("hit"), F.lit(0)).alias("overlapping"))
+
+
+def _p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack(token_counts(table(spark, d, "documents"), "doc_id", "text"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that had to be cut."""
+    return _p6_packed(spark, d).filter("piece = 1 and container is not null").select(F.col("id").alias("doc_id"))
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's pieces with their container."""
+    return _p6_packed(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    each = _p6_packed(spark, d).filter("container is not null").groupBy("container").agg(F.sum("tokens").alias("tokens"))
+    return each.agg(F.count("*").alias("containers"), F.max("tokens").alias("fullest"), F.round(F.sum("tokens") / (F.count("*") * CAPACITY), 6).alias("fill"))
+
+
+def _p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the evaluation items they leak."""
+    return _p7_leaks(spark, d).select(F.col("id").alias("doc_id"), "item_id")
+
+
+def p7_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The leaked passages with their place in the original text."""
+    return _p7_leaks(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def _p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_level(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The reading level of every document with enough English prose."""
+    return _p8_levels(spark, d).select("doc_id", "level")
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The figures behind the level."""
+    return _p8_levels(spark, d)
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and means by domain and level."""
+    by = _p8_levels(spark, d).join(table(spark, d, "documents").select("doc_id", "domain"), "doc_id")
+    return by.groupBy("domain", "level").agg(F.count("*").alias("documents"), F.round(F.avg("score"), 3).alias("score"), F.round(F.avg("estimate"), 3).alias("estimate"), F.round(F.avg("coverage_rank"), 1).alias("coverage_rank"))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found, "p1_groups": p1_groups,
         "p2_found": p2_found, "p2_nearest": p2_nearest,
         "p3_found": p3_found, "p3_splits": p3_splits, "p3_shares": p3_shares,
+        "p5_found": p5_found, "p5_counts": p5_counts,
+        "p6_found": p6_found, "p6_containers": p6_containers, "p6_fill": p6_fill,
+        "p7_found": p7_found, "p7_passages": p7_passages,
+        "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile,
     }
 
 
