@@ -35,11 +35,11 @@ LOOKALIKES = str.maketrans({
     "а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l",
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɡ": "g", "ɑ": "a", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d",
 })
-INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿\U000e0000-\U000e007f]")
+INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e007f]")
 INLINE_TAG = re.compile(r"(?i)</?(?:b|i|u|em|strong|span|a|font|mark|small|sub|sup|tt|wbr)(?:\s[^<>]{0,300})?/?>")
 ANY_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
-HYPHEN_BREAK = re.compile(r"(?<=\w)[-‐‑][ \t]*\r?\n[ \t]*(?=[a-z])")
+HYPHEN_BREAK = re.compile("(?<=\\w)[-\u2010\u2011][ \\t]*\\r?\\n[ \\t]*(?=[a-z])")
 WORD = re.compile("[a-z0-9]+")
 
 
@@ -153,7 +153,7 @@ def aligned(item: list[str], doc: list[str], least: int, per_edit: int) -> tuple
         came = origin.copy()
         came[:, 1:] = np.where(take, origin[:, :-1], origin[:, 1:])
         # words added in the text: the least of what stands to the left plus one a step
-        lifted = (now - steps) * (m + 2) + steps[None, :] * 0
+        lifted = now - steps
         left = np.minimum.accumulate(lifted, axis=1)
         where = np.maximum.accumulate(np.where(lifted == left, steps, 0), axis=1)
         cost = np.take_along_axis(now, where, 1) + (steps - where)
