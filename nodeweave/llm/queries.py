@@ -110,7 +110,7 @@ def _p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     members = _first_delivery(e.select("id", "split", F.array_distinct(F.filter(listed, lambda x: x.isNotNull() & (x != ""))).alias("members")))
     cases = _first_delivery(table(spark, d, "traversal_ranking").select("id", "split", "query"))
     return (
-        set_overlaps(query, "id", "split", "words", 0.70).withColumn("kind", F.lit("query"))
+        set_overlaps(query, "id", "split", "words", 0.70, front=0.5).withColumn("kind", F.lit("query"))
         .unionByName(set_overlaps(members, "id", "split", "members", 0.70, least=4).withColumn("kind", F.lit("candidates")))
         .unionByName(vector_overlaps(cases, "id", "split", "query", 32, 0.995).withColumn("kind", F.lit("ranking")))
     )
