@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from nodeweave.queries import metric_queries, nested
+from nodeweave.queries import graph_queries, metric_queries, nested, vector_queries
 
-MODULES = (metric_queries, nested)
+MODULES = (vector_queries, graph_queries, metric_queries, nested)
 
 
 def queries() -> dict:

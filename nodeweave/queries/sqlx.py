@@ -35,7 +35,9 @@ def unit(v: str) -> str:
 
 
 def fold(v: str, n: int) -> str:
-    return f"(CASE WHEN {v} IS NULL THEN NULL ELSE list_transform(range(0, {n}), lambda k: coalesce(list_sum(list_transform(range(k, len({v}), {n}), lambda i: {v}[i + 1])), 0.0)) END)"
+    """Fold to n places; a null vector folds to zeros, so a caller tells nulls apart by the vector itself."""
+    full = f"coalesce({v}, []::DOUBLE[])"
+    return f"list_transform(range(0, {n}), lambda k: coalesce(list_sum(list_transform(range(k, len({full}), {n}), lambda i: {full}[i + 1])), 0.0))"
 
 
 def zipped(a: str, b: str, n: int, body: str) -> str:
