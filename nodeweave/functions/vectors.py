@@ -67,10 +67,10 @@ def cosine01(a: Column | str, b: Column | str) -> Column:
 def fold(v: Column | str, dims: int) -> Column:
     """Member i added to place i mod dims; not normalised."""
     v = vec(v)
-    return F.transform(
+    return F.when(v.isNotNull(), F.transform(
         F.sequence(F.lit(0), F.lit(dims - 1)),
         lambda k: F.when(k < F.size(v), F.aggregate(F.sequence(k, F.greatest(k, F.size(v) - 1), F.lit(dims)), F.lit(0.0), lambda s, i: s + F.get(v, i))).otherwise(0.0),
-    )
+    ))
 
 
 def resize(v: Column | str, dims: int) -> Column:
