@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
 
 
 def col(v: Column | str) -> Column:
@@ -26,7 +25,7 @@ def vec(v: Column | str) -> Column:
 
 def total(v: Column) -> Column:
     """Sum in array order; nulls count as nothing."""
-    return F.aggregate(v, F.lit(0.0), lambda s, x: s + F.coalesce(x, ZERO))
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
 
 def clamp01(x: Column) -> Column:
@@ -93,7 +92,7 @@ def add(a: Column, b: Column) -> Column:
 
 def blend(vectors: list[Column | str], dims: int) -> Column:
     """The unit vector of the sum of the resized vectors; of none, zeros. Null vectors are left out."""
-    zeros = F.array_repeat(ZERO, dims)
+    zeros = F.array_repeat(F.lit(0.0), dims)
     return normalize(reduce(add, [F.coalesce(resize(v, dims), zeros) for v in vectors], zeros))
 
 
@@ -128,4 +127,4 @@ def rounded(v: Column | str, places: int = 6) -> Column:
 def traversal_scalars(confidence: Column | str, hop: Column | str, size: int = 2) -> Column:
     """[confidence, hop / 3], both held to 0..1, padded with zeros or cut to ``size``."""
     both = F.array(clamp01(col(confidence).cast("double")), clamp01(col(hop).cast("double") / 3.0))
-    return F.slice(F.concat(both, F.array_repeat(ZERO, max(0, size - 2))), 1, size)
+    return F.slice(F.concat(both, F.array_repeat(F.lit(0.0), max(0, size - 2))), 1, size)

@@ -9,7 +9,11 @@ from nodeweave.sources.tables import latest, table
 
 #: Edges kept for a node, and for an expressway node.
 NODE_EDGES, EXPRESSWAY_EDGES = 32, 128
-EDGE_ORDER = (F.desc("confidence"), F.asc("created_at"), F.asc("dst_id"))
+
+
+def edge_order() -> list[Column]:
+    """The order of a node's edges."""
+    return [F.desc("confidence"), F.asc("created_at"), F.asc("dst_id")]
 
 
 def current_nodes(frames: DataFrame) -> DataFrame:
@@ -64,10 +68,10 @@ def prune_edges(edges: DataFrame, nodes: DataFrame, node_edges: int = NODE_EDGES
         raise ValueError("edge limits must be positive")
     most = max(node_edges, expressway_edges)
     slots = edges.withColumn("slot", F.pmod(F.xxhash64("dst_id"), F.lit(32)))
-    first = Window.partitionBy("src_id", "slot").orderBy(*EDGE_ORDER)
+    first = Window.partitionBy("src_id", "slot").orderBy(*edge_order())
     slim = slots.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= most).drop("r", "slot")
     flagged = slim.join(nodes.filter("expressway").select(F.col("node_id").alias("src_id"), F.lit(True).alias("is_expressway")), "src_id", "left")
-    rank = Window.partitionBy("src_id").orderBy(*EDGE_ORDER)
+    rank = Window.partitionBy("src_id").orderBy(*edge_order())
     limit = F.when(F.coalesce("is_expressway", F.lit(False)), expressway_edges).otherwise(node_edges)
     kept = flagged.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= most)
     return kept.filter(F.col("rank") <= limit).drop("is_expressway")

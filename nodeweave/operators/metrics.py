@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MILLION = 1_000_000
-IN_CASE = Window.partitionBy("case_id")
+
+
+def in_case():
+    return Window.partitionBy("case_id")
 
 
 def prepared(rows: DataFrame) -> DataFrame:
@@ -24,7 +27,7 @@ def prepared(rows: DataFrame) -> DataFrame:
 
 def rank_cases(rows: DataFrame) -> DataFrame:
     """rows with ``rank`` in the case: score descending, then input order."""
-    return prepared(rows).withColumn("rank", F.row_number().over(IN_CASE.orderBy(F.desc("s"), "idx")))
+    return prepared(rows).withColumn("rank", F.row_number().over(in_case().orderBy(F.desc("s"), "idx")))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -53,7 +56,7 @@ def at_k(rows: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
 
 def ndcg(rows: DataFrame, ks: tuple[int, ...] = (3, 5)) -> DataFrame:
     """Binary gain over log2(rank + 1), against the best order; 0 where nothing is positive."""
-    ranked = rank_cases(rows).withColumn("ideal", F.row_number().over(IN_CASE.orderBy(F.desc("label"), "idx")))
+    ranked = rank_cases(rows).withColumn("ideal", F.row_number().over(in_case().orderBy(F.desc("label"), "idx")))
     gain, best = F.col("label") / F.log2(F.col("rank") + 1.0), F.col("label") / F.log2(F.col("ideal") + 1.0)
     per = ranked.groupBy("case_id").agg(
         *[F.sum(F.when(F.col("rank") <= k, gain).otherwise(0.0)).alias(f"g{k}") for k in ks], *[F.sum(F.when(F.col("ideal") <= k, best).otherwise(0.0)).alias(f"b{k}") for k in ks]
@@ -76,8 +79,8 @@ def pairwise(rows: DataFrame) -> DataFrame:
     Counted with running sums inside the case; no pair is ever made. mean_negative
     weighs a negative once for each of its pairs.
     """
-    above = IN_CASE.orderBy("s").rangeBetween(1, Window.unboundedFollowing)
-    m = prepared(rows).withColumn("wins", F.coalesce(F.sum("label").over(above), F.lit(0))).withColumn("positives", F.sum("label").over(IN_CASE))
+    above = in_case().orderBy("s").rangeBetween(1, Window.unboundedFollowing)
+    m = prepared(rows).withColumn("wins", F.coalesce(F.sum("label").over(above), F.lit(0))).withColumn("positives", F.sum("label").over(in_case()))
     neg = m.filter("label = 0 and positives > 0")
     return neg.groupBy("kind").agg(
         F.sum("positives").alias("pairs"), F.sum("wins").alias("won"), F.max(is_hard(F.col("kind"))).alias("hard"), F.max(is_adversarial(F.col("kind"))).alias("adversarial"),
@@ -207,8 +210,8 @@ def pairwise_loss(rows: DataFrame, margin: float = 0.2, min_delta: float = 0.05)
 
 def listwise_loss(rows: DataFrame, temperature: float = 0.15) -> DataFrame:
     """Cross entropy of the case's score softmax against its target softmax (temperature on targets only); cases of no target mass are left out."""
-    m = rows.withColumn("mass", F.sum("target").over(IN_CASE)).filter("mass > 0")
-    m = m.withColumn("te", F.exp((F.col("target") - F.max("target").over(IN_CASE)) / max(temperature, 1e-6))).withColumn("top", F.max("score").over(IN_CASE))
-    m = m.withColumn("ts", F.sum("te").over(IN_CASE)).withColumn("ls", F.log(F.sum(F.exp(F.col("score") - F.col("top"))).over(IN_CASE)))
+    m = rows.withColumn("mass", F.sum("target").over(in_case())).filter("mass > 0")
+    m = m.withColumn("te", F.exp((F.col("target") - F.max("target").over(in_case())) / max(temperature, 1e-6))).withColumn("top", F.max("score").over(in_case()))
+    m = m.withColumn("ts", F.sum("te").over(in_case())).withColumn("ls", F.log(F.sum(F.exp(F.col("score") - F.col("top"))).over(in_case())))
     per = m.groupBy("case_id").agg((-F.sum(F.col("te") / F.col("ts") * (F.col("score") - F.col("top") - F.col("ls")))).alias("l"))
     return per.agg(F.count("*").alias("cases"), F.round(F.coalesce(F.avg("l"), F.lit(0.0)), 6).alias("loss"))

@@ -18,32 +18,33 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
     return current_nodes(table(spark, d, "node_frame"))
 
 
-def _per_node(**cols):
-    return lambda spark, d: _nodes(spark, d).select("node_id", *[c.alias(n) for n, c in cols.items()])
-
-
 def _r(c):
     return F.round(c, 6)
 
 
 def _vectors() -> dict:
+    """Columns of the per-node vector queries, made only when a query runs."""
     s, m, f, t = "summary_vector", "metadata_vector", "full_vector", "traversal_vector"
     return {
-        "vec_dot": _per_node(dot_meta=_r(V.dot(s, m)), dot_full=_r(V.dot(s, f)), dot_route=_r(V.dot(f, t))),
-        "vec_norm": _per_node(norm_summary=_r(V.norm(s)), norm_full=_r(V.norm(f))),
-        "vec_normalize": _per_node(unit=V.rounded(V.normalize(s))),
-        "vec_cosine": _per_node(meta=_r(V.cosine(s, m)), full=_r(V.cosine(s, f))),
-        "vec_cosine01": _per_node(meta=_r(V.cosine01(s, m)), full=_r(V.cosine01(s, f))),
-        "vec_resize": _per_node(down=V.rounded(V.resize(f, 16)), up=V.rounded(V.resize(t, 24)), same=V.rounded(V.resize(s, 32))),
-        "vec_blend": _per_node(blend=V.rounded(V.blend([s, m, f], 32))),
-        "vec_effective": _per_node(effective=V.rounded(V.effective(s, m, 32))),
-        "vec_traversal": _per_node(route=V.rounded(V.traversal_vector(s, m, 16))),
-        "vec_edge": _per_node(edge=V.rounded(V.edge_vector(s, m, 16))),
-        "vec_flip": _per_node(flipped=V.rounded(V.flip_alternating(t)), negated=V.rounded(V.negate(t))),
-        "vec_round": _per_node(rounded=V.rounded(t, 3)),
+        "vec_dot": lambda: {"dot_meta": _r(V.dot(s, m)), "dot_full": _r(V.dot(s, f)), "dot_route": _r(V.dot(f, t))},
+        "vec_norm": lambda: {"norm_summary": _r(V.norm(s)), "norm_full": _r(V.norm(f))},
+        "vec_normalize": lambda: {"unit": V.rounded(V.normalize(s))},
+        "vec_cosine": lambda: {"meta": _r(V.cosine(s, m)), "full": _r(V.cosine(s, f))},
+        "vec_cosine01": lambda: {"meta": _r(V.cosine01(s, m)), "full": _r(V.cosine01(s, f))},
+        "vec_resize": lambda: {"down": V.rounded(V.resize(f, 16)), "up": V.rounded(V.resize(t, 24)), "same": V.rounded(V.resize(s, 32))},
+        "vec_blend": lambda: {"blend": V.rounded(V.blend([s, m, f], 32))},
+        "vec_effective": lambda: {"effective": V.rounded(V.effective(s, m, 32))},
+        "vec_traversal": lambda: {"route": V.rounded(V.traversal_vector(s, m, 16))},
+        "vec_edge": lambda: {"edge": V.rounded(V.edge_vector(s, m, 16))},
+        "vec_flip": lambda: {"flipped": V.rounded(V.flip_alternating(t)), "negated": V.rounded(V.negate(t))},
+        "vec_round": lambda: {"rounded": V.rounded(t, 3)},
     }
 
 
+def _per_node(columns):
+    return lambda spark, d: _nodes(spark, d).select("node_id", *[c.alias(n) for n, c in columns().items()])
+
+
 def scalars(spark: SparkSession, d: str) -> DataFrame:
     c = candidates(spark, d)
     return c.select("case_id", "idx", V.rounded(V.traversal_scalars("confidence", "hop", 3)).alias("scalars"))
@@ -176,7 +177,7 @@ def round_robin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return _vectors() | {
+    return {name: _per_node(columns) for name, columns in _vectors().items()} | {
         f.__name__: f
         for f in (scalars, embed_documents, metadata_text, metadata_vector, effective_text, terms_extract, terms_overlap, metadata_conflict, strip_fence, parse_labels, teacher_coalesce, kind_case, build_prompt, distinct_ids, manifest_counts, scan_jsonl, resume_antijoin, round_robin)
     }

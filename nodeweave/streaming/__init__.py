@@ -1 +1 @@
-
+"""Streams of deliveries into the graph tables."""
