@@ -263,7 +263,9 @@ class _Cell:
                 else:
                     mi, qi = np.nonzero(near >= -np.inf)
                 if len(mi):
-                    cos = np.einsum("ij,ij->i", self.x[s:e][mi].astype(np.float64), x[qi].astype(np.float64))
+                    xm, xq = self.x[s:e][mi].astype(np.float64), x[qi].astype(np.float64)
+                    # single-precision unit vectors are not quite of length one
+                    cos = np.einsum("ij,ij->i", xm, xq) / np.sqrt(np.einsum("ij,ij->i", xm, xm) * np.einsum("ij,ij->i", xq, xq))
                     ok = cos >= min_cos - 1e-7
                     out.append((qid[at[qi[ok]]], self.rid[s:e][mi[ok]], cos[ok]))
         return out
@@ -303,7 +305,7 @@ def _search(quantiser, dims: int, k: int, rerank: int, min_cos: float):
 def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, dims: int, k: int = 5, min_cos: float = -1.0, probes: int = 8, cells: int = 4, rerank: int = 64) -> DataFrame:
     """(id, neighbour, cosine, rank): for every vector its ``k`` most similar others with at least ``min_cos``.
 
-    Rank 1 is the most similar; ties go to the smaller id. Null vectors, vectors
+    Rank 1 is the most similar; ties (equal to the ninth place) go to the smaller id. Null vectors, vectors
     of another length, with null or NaN members, and all-zero vectors take no
     part; ids must be unique. Equal vectors (after normalising) are all found.
     Extra columns are ignored; an empty table gives an empty result.
@@ -353,5 +355,5 @@ def _with_copies(copies: DataFrame, near: DataFrame, k: int) -> DataFrame:
     among = copies.join(front, "lead").filter("id <> front").select("id", F.col("front").alias("neighbour"), F.lit(1.0).alias("cosine"))
     to_rows = near.join(front.select(F.col("lead").alias("m"), "front"), "m", "left").select("q", "q_id", F.coalesce("front", "m_id").alias("neighbour"), "cosine")
     from_rows = to_rows.join(copies.select(F.col("lead").alias("q"), "id"), "q", "left").select(F.coalesce("id", "q_id").alias("id"), "neighbour", "cosine")
-    rank = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
+    rank = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 9)), "neighbour")
     return from_rows.unionByName(among).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)

@@ -67,10 +67,10 @@ def assign_splits(groups: DataFrame, plan: DataFrame, seed: int = 7) -> DataFram
     weights = {k: max(v, 0.0) for k, v in missing.items()}
     if not any(weights.values()):
         weights = dict(wanted)
-    draws = F.greatest(*[
+    draws = F.array_max(F.array(*[
         F.struct((-F.lit(w) / F.log((F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "unit"), F.lit(2**52)) + 0.5) / float(2**52))).alias("d"), F.lit(k).alias("k"))
         for k, w in weights.items() if w > 0
-    ])
+    ]))
     by_hash = own.withColumn("by_hash", draws.getField("k"))
     if not placed:
         return by_hash.select("id", "group", F.col("by_hash").alias("split"))
