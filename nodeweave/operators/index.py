@@ -91,7 +91,7 @@ def exact_topk(nodes: DataFrame, id_col: str, vector_col: Column | str, queries:
         raise ValueError("k must be positive")
     rows = [(r["query_id"], r["q"]) for r in queries.filter("q is not null").select("query_id", vec("q").alias("q")).toLocalIterator()]
     names = [r[0] for r in rows]
-    matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    matrix = np.array([r[1] for r in rows], np.float64) if rows else np.zeros((0, 1))
     held = queries.sparkSession.sparkContext.broadcast((names, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

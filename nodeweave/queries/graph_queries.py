@@ -286,7 +286,7 @@ def _topic_search(nodes: DataFrame, topics: DataFrame, queries: DataFrame, own:
 
     rows = queries.join(own, "query_id").select("query_id", "wanted", "q").toLocalIterator()
     asked = [(r["query_id"], r["wanted"], r["q"]) for r in rows]
-    held = nodes.sparkSession.sparkContext.broadcast((np.array([a[0] for a in asked], object), np.array([a[1] for a in asked], object), np.array([a[2] for a in asked], np.float64).reshape(len(asked), -1)))
+    held = nodes.sparkSession.sparkContext.broadcast((np.array([a[0] for a in asked], object), np.array([a[1] for a in asked], object), np.array([a[2] for a in asked], np.float64) if asked else np.zeros((0, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, wanted, q = held.value
