@@ -96,7 +96,7 @@ def words_with_offsets(text: str) -> list[tuple[str, int, int]]:
             piece, end = put[i]
         else:
             piece, end = ("" if drop[i] == 1 else " " if drop[i] == 2 else text[i]), i + 1
-        for c in "".join(_fold(x) for x in piece):
+        for c in "".join([FOLDING[ord(x)] for x in piece]):
             chars.append(c)
             at.append((i, end))
         i = end
@@ -145,7 +145,7 @@ def aligned(item: list[str], doc: list[str], least: int, per_edit: int) -> tuple
             break
         cost, origin = cost[:k], origin[:k]
         hit = same[np.arange(k) + length - 1]
-        across = cost[:, :-1] + np.where(hit, 0, 1)
+        across = cost[:, :-1] + ~hit
         down = cost + 1
         now = down.copy()
         take = across < down[:, 1:]
@@ -216,23 +216,25 @@ def _scan(items: list[tuple[int, list[str]]], seed: int, least: int, per_edit: i
             if len(pairs) < needed:
                 continue
             item = of[k]
-            span = len(item) + len(item) // per_edit + seed
+            n = len(item)
+            slack = n // per_edit + 1
             pairs.sort()
             # seeds of one stretch lie within the item's length of each other
-            groups: list[list[int]] = []
+            groups: list[list[tuple[int, int]]] = []
             for at, i in pairs:
-                if groups and at - groups[-1][1] <= span:
-                    groups[-1][1] = at
-                    groups[-1][2] += 1
+                if groups and at - groups[-1][-1][0] <= n + slack:
+                    groups[-1].append((at, i))
                 else:
-                    groups.append([at, at, 1])
+                    groups.append([(at, i)])
             best = None
-            for first, last, n in groups:
-                if n < needed:
+            for group in groups:
+                if len(group) < needed:
                     continue
-                lo, hi = max(0, first - span), min(len(words), last + seed + span)
-                for s in range(lo, hi, 4 * span):
-                    got = aligned(item, words[s : min(hi, s + 6 * span)], least, per_edit)
+                # a stretch through a seed begins at most i words before it and ends at most n - i after
+                lo = max(0, min(at - i for at, i in group) - slack)
+                hi = min(len(words), max(at + n - i for at, i in group) + slack)
+                for s in range(lo, hi, 3 * (n + slack)):
+                    got = aligned(item, words[s : min(hi, s + 4 * (n + slack))], least, per_edit)
                     if got and (best is None or got[0] > best[0]):
                         best = (got[0], s + got[1], s + got[2])
             if best:

@@ -14,6 +14,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,9 +48,11 @@ ITEM_END = re.compile(r"(?i)<\s*/\s*li\s*>")
 DROP_TAG = re.compile(r"(?is)<\s*(script|style|pre|code)\b.*?<\s*/\s*\1\s*>")
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 FENCE = re.compile(r"(?s)```.*?(?:```|\Z)")
+LAST_WORD = re.compile(r"[\w.]*$")
 LETTERS = re.compile(r"[^\W\d_]+")
 VOWELS = re.compile(r"[aeiouy]+")
 STOP = re.compile(r"[.!?]+[\"')\]’”]*(?=\s|$)")
+NO_LETTER = re.compile(r"[\W\d_]")
 SILENT_E = re.compile(r"(?<=[b-df-hj-np-tv-xz])e$")
 
 MIN_WORDS = 40
@@ -68,8 +71,11 @@ def _junk(line: str) -> bool:
         return True
     if re.match(r'"[\w.]+"\s*:', s) or len(PAIRS.findall(s)) >= 2 or CODE.match(s):
         return True
-    letters = sum(c.isalpha() for c in s)
-    return len(s) > 8 and letters < 0.5 * len(s.replace(" ", ""))
+    if len(s) <= 8:
+        return False
+    spaces = s.count(" ")
+    letters = len(s) - len(NO_LETTER.findall(s))
+    return letters < 0.5 * (len(s) - spaces)
 
 
 def blocks(text: str) -> list[str]:
@@ -125,7 +131,7 @@ def sentences(block: str) -> list[str]:
     out, start = [], 0
     for m in STOP.finditer(block):
         if m[0][0] == ".":
-            word = re.search(r"[\w.]*$", block[start : m.start()])[0].lower()
+            word = LAST_WORD.search(block[max(start, m.start() - 24) : m.start()])[0].lower()
             rest = block[m.end() :].lstrip()
             if word in ABBREVIATIONS or word.rstrip(".") in ABBREVIATIONS and rest or (word in NUMBERED and rest[:1].isdigit()) or (len(word) == 1 and word.isalpha() and word != "i" and rest[:1].islower()):
                 continue
@@ -136,11 +142,26 @@ def sentences(block: str) -> list[str]:
     return out
 
 
+#: Word to the languages whose function word it is.
+LANGUAGES = ("en", "de", "es", "fr")
+SPOKEN = {w: tuple(k for k, v in enumerate((ENGLISH, GERMAN, SPANISH, FRENCH)) if w in v) for w in ENGLISH | GERMAN | SPANISH | FRENCH}
+
+
 def language(words: list[str]) -> str:
     """The language whose function words a block has most of; none if it has none."""
-    score = {k: sum(w in v for w in words) for k, v in (("en", ENGLISH), ("de", GERMAN), ("es", SPANISH), ("fr", FRENCH))}
-    best = max(score, key=lambda k: score[k])
-    return best if score[best] else ""
+    score = [0, 0, 0, 0]
+    for w in words:
+        if w in SPOKEN:
+            for k in SPOKEN[w]:
+                score[k] += 1
+    best = max(score)
+    return LANGUAGES[score.index(best)] if best else ""
+
+
+@lru_cache(maxsize=200_000)
+def vowel_groups(word: str) -> int:
+    """Vowel groups of a lower-case word, at least one; a final e after a consonant is none."""
+    return max(1, len(VOWELS.findall(SILENT_E.sub("", word))))
 
 
 def prose(text: str | None) -> tuple[int, int, int, Counter]:
@@ -154,15 +175,14 @@ def prose(text: str | None) -> tuple[int, int, int, Counter]:
         nonlocal n_words, n_sentences, n_vowels
         n_words += len(found)
         n_sentences += 1
-        for w in found:
-            n_vowels += max(1, len(VOWELS.findall(SILENT_E.sub("", w))))
+        n_vowels += sum(map(vowel_groups, found))
         seen.update(found)
 
     for block in blocks(text or ""):
         for s in sentences(block):
             if CLOSINGS.match(s):
                 continue
-            found = [w.lower() for w in LETTERS.findall(s)]
+            found = LETTERS.findall(s.lower())
             if not found:
                 continue
             lang = language(found)
