@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nodeweave.session import spread
+
 SEED = 4
 LEAST = 15
 PER_EDIT = 6
@@ -278,4 +280,4 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         raise ValueError("more item words than one scan can hold")
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([picked.schema["id"], *[T.StructField(n, T.LongType()) for n in ("item_id", "item_words", "start", "end")]])
-    return picked.mapInArrow(_scan(words, SEED, least, per_edit), schema)
+    return spread(picked).mapInArrow(_scan(words, SEED, least, per_edit), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nodeweave.session import stage
+from nodeweave.session import spread, stage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern published with this vocabulary.
@@ -55,7 +55,7 @@ def _count_tokens(path: str):
 def token_counts(df: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(id, tokens) of whole texts under a public tokenizer; null and empty texts have 0."""
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(_count_tokens(tokenizer), T.StructType([picked.schema["id"], T.StructField("tokens", T.LongType())]))
+    return spread(picked).mapInArrow(_count_tokens(tokenizer), T.StructType([picked.schema["id"], T.StructField("tokens", T.LongType())]))
 
 
 def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:

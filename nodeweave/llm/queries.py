@@ -203,4 +203,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from nodeweave.llm.sql import oracle_sql as sql
+
+    return sql()

@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import html
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nodeweave.session import stage
+from nodeweave.session import spread, stage
 
 # Words that tell the languages apart, abbreviations that end no sentence, and openings of closing notices.
 ENGLISH = frozenset("the a an and or of to in for on with is are was were be been by as at from that this which who it its not but has have had must may can will should if when after before where each any no some one both only into under than them they you your we he she his her their there what how do does did put keep until while during for whose him us our all most".split())
@@ -52,6 +52,7 @@ LAST_WORD = re.compile(r"[\w.]*$")
 LETTERS = re.compile(r"[^\W\d_]+")
 VOWELS = re.compile(r"[aeiouy]+")
 STOP = re.compile(r"[.!?]+[\"')\]’”]*(?=\s|$)")
+ASCII_LETTERS = string.ascii_letters.encode()
 NO_LETTER = re.compile(r"[\W\d_]")
 SILENT_E = re.compile(r"(?<=[b-df-hj-np-tv-xz])e$")
 
@@ -69,12 +70,13 @@ def _junk(line: str) -> bool:
         return True
     if s[0] in "{[" and (s[-1] in "}]" or s[-2:] in ("},", "],")) and (":" in s or "," in s):
         return True
-    if re.match(r'"[\w.]+"\s*:', s) or len(PAIRS.findall(s)) >= 2 or CODE.match(s):
+    if re.match(r'"[\w.]+"\s*:', s) or (s.count("=") >= 2 and len(PAIRS.findall(s)) >= 2) or CODE.match(s):
         return True
     if len(s) <= 8:
         return False
     spaces = s.count(" ")
-    letters = len(s) - len(NO_LETTER.findall(s))
+    others = len(s.encode().translate(None, ASCII_LETTERS)) if s.isascii() else len(NO_LETTER.findall(s))
+    letters = len(s) - others
     return letters < 0.5 * (len(s) - spaces)
 
 
@@ -158,10 +160,17 @@ def language(words: list[str]) -> str:
     return LANGUAGES[score.index(best)] if best else ""
 
 
-@lru_cache(maxsize=200_000)
-def vowel_groups(word: str) -> int:
-    """Vowel groups of a lower-case word, at least one; a final e after a consonant is none."""
-    return max(1, len(VOWELS.findall(SILENT_E.sub("", word))))
+class _VowelGroups(dict):
+    """Vowel groups of a lower-case word, at least one, kept for words seen; a final e after a consonant is none."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = n = max(1, len(VOWELS.findall(SILENT_E.sub("", word))))
+        return n
+
+
+VOWEL_GROUPS = _VowelGroups()
 
 
 def prose(text: str | None) -> tuple[int, int, int, Counter]:
@@ -175,7 +184,7 @@ def prose(text: str | None) -> tuple[int, int, int, Counter]:
         nonlocal n_words, n_sentences, n_vowels
         n_words += len(found)
         n_sentences += 1
-        n_vowels += sum(map(vowel_groups, found))
+        n_vowels += sum([VOWEL_GROUPS[w] for w in found])
         seen.update(found)
 
     for block in blocks(text or ""):
@@ -230,7 +239,7 @@ def reading_level(df: DataFrame, id_col: str, text_col: str, share: float = SHAR
     """
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([picked.schema["id"], *[T.StructField(n, T.LongType()) for n in ("words", "sentences", "vowel_groups")], T.StructField("vocabulary", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
-    docs = stage(picked.mapInArrow(_parse, schema).filter(F.col("words") >= min_words), "prose")
+    docs = stage(spread(picked).mapInArrow(_parse, schema).filter(F.col("words") >= min_words), "prose")
     used = stage(docs.select(F.explode(F.arrays_zip("vocabulary", "counts")).alias("x")).groupBy(F.col("x.vocabulary").alias("word")).agg(F.sum("x.counts").alias("n")), "vocabulary")
     # words of one frequency are one class; the number of classes is at most the root of twice the corpus
     classes = used.groupBy("n").agg(F.count("*").alias("k")).withColumn("rank", F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)))
