@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from nodeweave.functions.vectors import dot, resize, vec
 
 #: Bytes of query vectors one task multiplies with at a time.
 BLOCK_BYTES = 16_000_000
+#: Bytes of query vectors held by the driver and each task at once.
+HELD_BYTES = 128_000_000
 
 
 @dataclass(frozen=True)
@@ -89,6 +93,12 @@ def exact_topk(nodes: DataFrame, id_col: str, vector_col: Column | str, queries:
     """
     if k < 1:
         raise ValueError("k must be positive")
+    asked = queries.filter("q is not null").agg(F.count("*").alias("n"), F.max(F.size("q")).alias("d")).first()
+    turns = math.ceil(asked["n"] * (asked["d"] or 0) * 8 / HELD_BYTES)
+    if turns > 1:
+        # more queries than one matrix may hold: a pass over the nodes for each part of them
+        parts = [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == i) for i in range(turns)]
+        return reduce(DataFrame.unionByName, [exact_topk(nodes, id_col, vector_col, part, k, cosine, skip_self) for part in parts])
     rows = [(r["query_id"], r["q"]) for r in queries.filter("q is not null").select("query_id", vec("q").alias("q")).toLocalIterator()]
     names = [r[0] for r in rows]
     matrix = np.array([r[1] for r in rows], np.float64) if rows else np.zeros((0, 1))

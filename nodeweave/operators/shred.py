@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nodeweave.session import spread
+
 ROWS = T.StructType([
     T.StructField("record", T.StringType()),
     T.StructField("table", T.StringType()),
@@ -162,7 +164,7 @@ def shred(df: DataFrame, record_col: str, json_col: str, repeated: list[str], sp
     caller stay in ``cols``.
     """
     picked = df.select(F.col(record_col).cast("string").alias("r"), F.col(json_col).alias("j"))
-    return picked.mapInArrow(
+    return spread(picked).mapInArrow(
         _shredder("r", "j", marker, tuple(wrappers), frozenset(repeated), frozenset(split_text), frozenset(maps), frozenset(objects), None if tables is None else frozenset(tables)), ROWS
     )
 

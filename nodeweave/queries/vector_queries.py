@@ -10,7 +10,7 @@ from nodeweave.functions import vectors as V
 from nodeweave.operators.graph import current_nodes
 from nodeweave.queries.metric_queries import candidates
 from nodeweave.queries.sqlx import CANDIDATES, EPISODES, NODES, clamp, cos, cos01, dot, fold, r6, unit, zipped
-from nodeweave.session import stage
+from nodeweave.session import spread, stage
 from nodeweave.sources.tables import table
 
 
@@ -52,7 +52,7 @@ def scalars(spark: SparkSession, d: str) -> DataFrame:
 
 def embed_documents(spark: SparkSession, d: str) -> DataFrame:
     """Hash embedding of every document's whole text."""
-    return table(spark, d, "documents").select("doc_id", V.rounded(X.embed_text("text", 32)).alias("embedding"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", V.rounded(X.embed_text("text", 32)).alias("embedding"))
 
 
 def metadata_text(spark: SparkSession, d: str) -> DataFrame:

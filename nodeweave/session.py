@@ -56,3 +56,13 @@ def stage(df: DataFrame, name: str, sort: list[str] | None = None) -> DataFrame:
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where.getParent())
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over enough tasks for work that is heavy for each row.
+
+    A scan of a few large row groups has fewer tasks than the cluster has cores;
+    only then are the rows shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
