@@ -302,7 +302,7 @@ def _search(quantiser, dims: int, k: int, rerank: int, min_cos: float):
     return run
 
 
-def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, dims: int, k: int = 5, min_cos: float = -1.0, probes: int = 8, cells: int = 4, rerank: int = 64) -> DataFrame:
+def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, dims: int, k: int = 5, min_cos: float = -1.0, probes: int = 16, cells: int = 6, rerank: int = 64) -> DataFrame:
     """(id, neighbour, cosine, rank): for every vector its ``k`` most similar others with at least ``min_cos``.
 
     Rank 1 is the most similar; ties (equal to the ninth place) go to the smaller id. Null vectors, vectors
