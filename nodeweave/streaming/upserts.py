@@ -18,7 +18,7 @@ from nodeweave.operators.graph import upsert_edges
 
 def _pointer(spark: SparkSession, path: str):
     jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/_current.json")
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/current.json")
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
