@@ -3,14 +3,14 @@
 A record is a text of symbols: the words of a query or the members of a list in
 one fixed order (rarest first, so that reordering does not matter), or the sign
 patterns of a vector against fixed random directions. All suffixes of all texts,
-sorted, bring equal spans together; a run of suffixes with a common prefix of d
-symbols is an interval of the array. Intervals are walked from short prefixes to
-longer ones: an interval that holds few cross-split pairs gives its pairs, a
-crowded one is read with one more symbol of prefix, and what is still crowded at
-the longest prefix (families of near copies) gives all its pairs. Only suffixes
-with the same prefix are ever brought together, so the array is held as sorted
-partitions of its prefixes. The shared spans of a pair are merged into a
-coverage, the pair's exact overlap.
+sorted, bring equal spans together; a run of suffixes with a common prefix is an
+interval of the array. Every cross-split pair of every run is compared where the
+run is, however many there are: a run is dealt in blocks over tasks, and a
+record carries what decides cheaply whether a pair can reach the threshold (a
+parity signature for sets, the rounded vector for vectors; neither ever drops a
+pair that reaches it). Only suffixes with the same prefix are ever brought
+together, so the array is held as sorted partitions of its prefixes. What is
+left is verified exactly.
 """
 
 from __future__ import annotations
@@ -25,72 +25,120 @@ from pyspark.sql import types as T
 
 from nodeweave.session import stage
 
-#: Prefix lengths in symbols, shortest first.
-DEPTHS = (2, 3, 4, 6, 8, 12, 16)
-#: Cross-split pairs an interval may hold before a longer prefix is asked for.
-CROWD = 400
 #: A symbol in more than one in so many texts counts as frequent; there are at most FREQUENT times a text's length of them.
 FREQUENT = 4_000
+#: Suffixes of one side and run that one block holds, about.
+BLOCK = 20_000
+#: Pairs compared at once.
+PAIRS = 250_000
+#: Bits of a set's parity signature.
+BITS = 128
+#: More than rounding two unit vectors to half precision can change their cosine (2 * 2 ** -11).
+ROUNDED = 0.002
 
 
-def _suffix_rows(depths: tuple[int, ...], front: float):
+def _runs(depth: int, front: float, payload):
+    """Suffixes as (key of the first ``depth`` symbols, held_out, rid, payload of the record)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul = np.uint64(0x9E3779B97F4A7C15)
         for b in batches:
             seqs = b.column("symbols")
             flat = seqs.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            lengths = seqs.value_lengths().to_numpy(zero_copy_only=False)
-            rid = np.repeat(b.column("rid").to_numpy(zero_copy_only=False), lengths)
-            side = np.repeat(b.column("held_out").to_numpy(zero_copy_only=False), lengths)
-            ends = np.repeat(np.cumsum(lengths), lengths)
-            at = np.arange(len(flat))
-            keys, key = {}, np.zeros(len(flat), np.uint64)
+            lengths = seqs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
+            n = np.repeat(lengths, lengths)
+            at = np.arange(len(flat)) - begin
+            key = np.zeros(len(flat), np.uint64)
             with np.errstate(over="ignore"):
-                for d in range(depths[-1]):
-                    inside = at + d < ends
-                    nxt = flat[np.minimum(at + d, len(flat) - 1)] if len(flat) else flat
+                for d in range(depth):
+                    inside = at + d < n
+                    nxt = flat[np.minimum(begin + at + d, len(flat) - 1)] if len(flat) else flat
                     key = np.where(inside, (key ^ nxt) * mul, key)
                     key ^= np.where(inside, key >> np.uint64(31), np.uint64(0))
-                    if d + 1 in depths:
-                        # a text shorter than the prefix ends here: one key for all longer prefixes
-                        keys[d + 1] = key.copy()
-            # a suffix shorter than the shortest prefix stands for itself only if the whole text is that short
-            whole = (np.repeat(np.cumsum(lengths) - lengths, lengths) == at) & (np.repeat(lengths, lengths) < depths[0])
-            begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            keep = ((ends - at >= depths[0]) & (at - begin < np.ceil(front * (ends - begin)))) | whole
-            yield pa.RecordBatch.from_arrays([pa.array(rid[keep]), pa.array(side[keep].astype(bool)), *[pa.array(keys[d][keep].view(np.int64)) for d in depths]], ["rid", "held_out", *[f"k{d}" for d in depths]])
+            # a suffix shorter than the prefix stands for itself only if the whole text is that short
+            keep = ((n - at >= depth) & (at < np.ceil(front * n))) | ((at == 0) & (n < depth))
+            columns = [pa.array(key[keep].view(np.int64)), b.column("held_out").take(pa.array(row[keep]))]
+            if payload is None:
+                yield pa.RecordBatch.from_arrays(columns, ["key", "held_out"])
+            else:
+                columns += [b.column("rid").take(pa.array(row[keep])), payload(b, flat, lengths, row).take(pa.array(row[keep]))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "held_out", "rid", "payload"])
+
+    return run
+
+
+def _compare(close):
+    """The (a, b) of all cross-split pairs of each block that ``close`` lets through; rows come sorted by block, train first."""
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        block, rid = _blocks(rows), rows.column("rid").to_numpy()
+        held = np.asarray(rows.column("held_out").to_pylist(), bool)
+        group = np.concatenate(([0], np.cumsum((block[1:] != block[:-1]).any(1))))
+        first = np.concatenate(([0], np.nonzero(group[1:] != group[:-1])[0] + 1))
+        trains = np.bincount(group, ~held).astype(np.int64)
+        asks = np.nonzero(held & (trains[group] > 0))[0]
+        if not len(asks):
+            return
+        count = trains[group[asks]]
+        ends = np.cumsum(count)
+        test = close(rows.column("payload"))
+        lo = 0
+        while lo < len(asks):
+            done = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+            n = count[lo:hi]
+            a = np.repeat(asks[lo:hi], n)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + first[group[a]]
+            ok = test(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(rid[a[ok]]), pa.array(rid[b[ok]])], ["a", "b"])
+            lo = hi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the last block of a batch may go on in the next
+            block = _blocks(batch)
+            cut = int((block != block[-1]).any(1).sum())
+            if cut or (waiting and (_blocks(waiting[-1].slice(waiting[-1].num_rows - 1))[0] != block[-1]).any()):
+                yield from pairs(pa.Table.from_batches([*waiting, batch.slice(0, cut)]))
+                waiting = []
+            waiting.append(batch.slice(cut))
+        if waiting:
+            yield from pairs(pa.Table.from_batches(waiting))
 
     return run
 
 
-def shared_span_pairs(texts: DataFrame, depths: tuple[int, ...] = DEPTHS, crowd: int = CROWD, front: float = 1.0) -> DataFrame:
-    """(a, b): a held-out and a training text that share a span; texts is (rid, held_out, symbols array<long>).
+def _blocks(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
+
+
+def shared_span_pairs(texts: DataFrame, depth: int, payload, close, front: float = 1.0) -> DataFrame:
+    """(a, b): every held-out and training text that share a span of ``depth`` and pass ``close``; texts is (rid, held_out, symbols array<long>, ...).
 
-    Only suffixes that begin in the first ``front`` of a text are read. Two sets
-    in the same order whose overlap is j have a shared span of two that begins
-    in the first 2 (1 - j) / j of either (there are too few differences to part
-    all common members before that), so 0.5 is sure from an overlap of 0.8 on
-    and misses below it only where differences and common members alternate.
+    Only suffixes that begin in the first ``front`` of a text are read. No run
+    is left out for its size: one of more than BLOCK suffixes a side is dealt in
+    a grid of blocks, each held-out part against each training part.
     """
-    schema = "rid long, held_out boolean, " + ", ".join(f"k{d} long" for d in depths)
-    rest = stage(texts.select("rid", "held_out", "symbols").mapInArrow(_suffix_rows(depths, front), schema), "suffixes", None)
-    found = None
-    for i, d in enumerate(depths):
-        key = f"k{d}"
-        runs = rest.groupBy(key).agg(F.sum(F.col("held_out").cast("long")).alias("e"), F.count("*").alias("n")).withColumn("pairs", F.col("e") * (F.col("n") - F.col("e")))
-        runs = runs.filter("pairs > 0").select(key, "pairs")
-        met = rest.join(runs, key)
-        last = i == len(depths) - 1
-        few = met if last else met.filter(F.col("pairs") <= crowd)
-        if not last:
-            met = stage(met.drop(*[f"k{x}" for x in depths[:i]]), f"runs{d}")
-            if found is not None and met.isEmpty():
-                break
-            few = met.filter(F.col("pairs") <= crowd)
-            rest = met.filter(F.col("pairs") > crowd).drop("pairs", key)
-        pairs = few.filter("held_out").select(key, F.col("rid").alias("a")).join(few.filter("not held_out").select(key, F.col("rid").alias("b")), key).select("a", "b").distinct()
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.distinct()
+    sizes = texts.mapInArrow(_runs(depth, front, None), "key long, held_out boolean").groupBy("key").agg(F.count_if("held_out").alias("e"), F.count_if(~F.col("held_out")).alias("t"))
+    # fewer than one for each BLOCK suffixes
+    large = [(r["key"], -(-r["e"] // BLOCK), -(-r["t"] // BLOCK)) for r in sizes.filter((F.col("e") > 0) & (F.col("t") > 0) & (F.greatest("e", "t") > BLOCK)).collect()]
+    rows = texts.mapInArrow(_runs(depth, front, payload), "key long, held_out boolean, rid long, payload binary")
+    if large:
+        grid = texts.sparkSession.createDataFrame(large, "key long, across int, down int")
+        one = F.coalesce("across", F.lit(1)), F.coalesce("down", F.lit(1))
+        dealt = rows.join(F.broadcast(grid), "key", "left").withColumn("mine", F.pmod(F.xxhash64("rid"), F.when(F.col("held_out"), one[0]).otherwise(one[1])).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("held_out"), one[1]).otherwise(one[0]) - 1)))
+        i, j = F.when(F.col("held_out"), F.col("mine")).otherwise(F.col("other")), F.when(F.col("held_out"), F.col("other")).otherwise(F.col("mine"))
+        rows = dealt.select("key", i.alias("i"), j.alias("j"), "held_out", "rid", "payload")
+    else:
+        rows = rows.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "held_out", "rid", "payload")
+    met = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "held_out")
+    return met.mapInArrow(_compare(close), "a long, b long").distinct()
 
 
 def rare_first(sets: DataFrame) -> DataFrame:
@@ -132,6 +180,34 @@ def _sided(df: DataFrame, id_col: str, split_col: str) -> DataFrame:
     return df.withColumn("id", F.col(id_col)).withColumn("held_out", side).filter("id is not null and held_out is not null")
 
 
+def _parity(b: pa.RecordBatch, flat: np.ndarray, lengths: np.ndarray, row: np.ndarray) -> pa.Array:
+    """Size and parity signature of each set: a member turns one bit over, so two sets differ in at least as many members as bits."""
+    bit = ((flat * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(57)).astype(np.int64)
+    odd = (np.bincount(row * BITS + bit, minlength=len(lengths) * BITS) & 1).astype(np.uint8).reshape(-1, BITS)
+    both = np.concatenate((lengths.astype(np.int64)[:, None].view(np.uint8), np.packbits(odd, axis=1)), axis=1)
+    return _fixed(both)
+
+
+def _fixed(x: np.ndarray) -> pa.Array:
+    """Rows of bytes as binary values."""
+    offsets = pa.py_buffer((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, offsets, pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+
+
+def _close_sets(threshold: float):
+    def close(payload: pa.ChunkedArray):
+        words = np.frombuffer(b"".join(payload.to_pylist()), np.uint64).reshape(-1, 1 + BITS // 64)
+        size, sign = words[:, 0].astype(np.int64), words[:, 1:]
+
+        def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            apart = np.bitwise_count(sign[a] ^ sign[b]).sum(1, dtype=np.int64)
+            return np.maximum(apart, np.abs(size[a] - size[b])) * (1 + threshold) <= (size[a] + size[b]) * (1 - threshold) + 1e-6
+
+        return test
+
+    return close
+
+
 def set_overlaps(df: DataFrame, id_col: str, split_col: str, set_col: str, threshold: float, least: int = 1, front: float = 1.0) -> DataFrame:
     """(id_a, id_b, overlap): records of train and of an evaluation split whose sets overlap by at least ``threshold``.
 
@@ -144,7 +220,7 @@ def set_overlaps(df: DataFrame, id_col: str, split_col: str, set_col: str, thres
     sided = stage(sided.filter(F.size("members") >= least).withColumn("digest", F.unhex(F.md5(F.concat_ws(",", F.array_sort("members").cast("array<string>"))))), "sided")
     # records with equal sets on one side are one text
     texts = stage(sided.groupBy("digest", "held_out").agg(F.first("members").alias("members")).withColumn("rid", F.monotonically_increasing_id()), "texts")
-    pairs = shared_span_pairs(rare_first(texts), front=front)
+    pairs = shared_span_pairs(rare_first(texts), 1, _parity, _close_sets(threshold), front)
     sets = texts.select("rid", "digest", "members")
     both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("digest").alias("da"), F.col("members").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("digest").alias("db"), F.col("members").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -164,11 +240,24 @@ def _sign_texts(dims: int, symbols: int, bits: int):
             signs = (x @ planes >= 0).reshape(len(x), symbols, bits)
             text = signs @ powers + (np.arange(symbols, dtype=np.int64) + 1) * (1 << bits)
             offsets = pa.array((np.arange(len(x) + 1) * symbols).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("held_out"), pa.ListArray.from_arrays(offsets, pa.array(text.reshape(-1)))], ["rid", "held_out", "symbols"])
+            unit = _fixed((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float16).view(np.uint8))
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("held_out"), pa.ListArray.from_arrays(offsets, pa.array(text.reshape(-1))), unit], ["rid", "held_out", "symbols", "unit"])
 
     return run
 
 
+def _unit(b: pa.RecordBatch, flat: np.ndarray, lengths: np.ndarray, row: np.ndarray) -> pa.Array:
+    return b.column("unit")
+
+
+def _close_vectors(dims: int, min_cos: float):
+    def close(payload: pa.ChunkedArray):
+        x = np.frombuffer(b"".join(payload.to_pylist()), np.float16).reshape(-1, dims).astype(np.float32)
+        return lambda a, b: np.einsum("ij,ij->i", x[a], x[b]) >= min_cos - ROUNDED
+
+    return close
+
+
 def vector_overlaps(df: DataFrame, id_col: str, split_col: str, vector_col: str, dims: int, min_cos: float, symbols: int = 24, bits: int = 10) -> DataFrame:
     """(id_a, id_b, overlap): records of train and of an evaluation split whose vectors have at least ``min_cos``.
 
@@ -181,7 +270,8 @@ def vector_overlaps(df: DataFrame, id_col: str, split_col: str, vector_col: str,
     digest = F.unhex(F.md5(F.concat_ws(",", F.col("vector").cast("array<string>"))))
     sided = stage(sided.withColumn("digest", digest), "sided")
     texts = stage(sided.groupBy("digest", "held_out").agg(F.first("vector").alias("vector")).withColumn("rid", F.monotonically_increasing_id()), "texts")
-    pairs = shared_span_pairs(texts.select("rid", "held_out", "vector").mapInArrow(_sign_texts(dims, symbols, bits), "rid long, held_out boolean, symbols array<long>"))
+    signs = texts.select("rid", "held_out", "vector").mapInArrow(_sign_texts(dims, symbols, bits), "rid long, held_out boolean, symbols array<long>, unit binary")
+    pairs = shared_span_pairs(signs, 2, _unit, _close_vectors(dims, min_cos))
     vectors = texts.select("rid", "digest", "vector")
     both = pairs.join(vectors.select(F.col("rid").alias("a"), F.col("digest").alias("da"), F.col("vector").alias("x")), "a").join(vectors.select(F.col("rid").alias("b"), F.col("digest").alias("db"), F.col("vector").alias("y")), "b")
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+import nodeweave.llm.overlap as overlap
 from nodeweave.llm.ann import nearest_vectors
 from nodeweave.llm.overlap import set_overlaps, vector_overlaps
 
@@ -80,3 +81,25 @@ def test_vector_overlaps(spark):
     names = [f"b{i:03d}" for i in range(60)] + ["c"]
     want = {tuple(sorted((names[j], f"a{i:03d}"))) for i, j in zip(*np.nonzero(u @ w.T >= 0.995))}
     assert got == want and len(want) > 50
+
+
+def test_large_families_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "BLOCK", 50)
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in range(30)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for j in rng.choice(30, 2, replace=False):
+            w[j] = f"e{i}x{j}"
+        rows.append((f"f{i:03d}", "test" if i % 6 == 0 else "train", w))
+    df = spark.createDataFrame(rows, "id string, s string, w array<string>")
+    got = {(r["id_a"], r["id_b"]) for r in set_overlaps(df, "id", "s", "w", 0.7, front=0.5).collect()}
+    assert got == {tuple(sorted((a, b))) for a, s, _ in rows for b, t, _ in rows if s == "test" and t == "train"}
+    centre = rng.standard_normal(32)
+    x = centre / np.linalg.norm(centre) + 0.012 * rng.standard_normal((240, 32))
+    df = spark.createDataFrame([(f"v{i:03d}", "test" if i % 6 == 0 else "train", v.tolist()) for i, v in enumerate(x)], "id string, s string, v array<double>")
+    got = {(r["id_a"], r["id_b"]) for r in vector_overlaps(df, "id", "s", "v", 32, 0.995).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {tuple(sorted((f"v{i:03d}", f"v{j:03d}"))) for i in range(0, 240, 6) for j in range(240) if j % 6 and u[i] @ u[j] >= 0.995}
+    assert len(want) > 2000 and got == want
