@@ -38,7 +38,7 @@ ROUNDED = 0.002
 
 
 def _runs(depth: int, front: float, payload):
-    """Suffixes as (key of the first ``depth`` symbols, held_out, rid, payload of the record)."""
+    """Suffixes as (key of the first ``depth`` symbols, held_out, rid, payload of the record); always those that begin at place front * length or before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul = np.uint64(0x9E3779B97F4A7C15)
@@ -58,7 +58,7 @@ def _runs(depth: int, front: float, payload):
                     key = np.where(inside, (key ^ nxt) * mul, key)
                     key ^= np.where(inside, key >> np.uint64(31), np.uint64(0))
             # a suffix shorter than the prefix stands for itself only if the whole text is that short
-            keep = ((n - at >= depth) & (at < np.ceil(front * n))) | ((at == 0) & (n < depth))
+            keep = ((n - at >= depth) & (at <= front * n + 1e-6)) | ((at == 0) & (n < depth))
             columns = [pa.array(key[keep].view(np.int64)), b.column("held_out").take(pa.array(row[keep]))]
             if payload is None:
                 yield pa.RecordBatch.from_arrays(columns, ["key", "held_out"])
@@ -120,7 +120,7 @@ def _blocks(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
 def shared_span_pairs(texts: DataFrame, depth: int, payload, close, front: float = 1.0) -> DataFrame:
     """(a, b): every held-out and training text that share a span of ``depth`` and pass ``close``; texts is (rid, held_out, symbols array<long>, ...).
 
-    Only suffixes that begin in the first ``front`` of a text are read. No run
+    Only suffixes that begin in the first ``front`` of a text are read (1 reads all). No run
     is left out for its size: one of more than BLOCK suffixes a side is dealt in
     a grid of blocks, each held-out part against each training part.
     """
@@ -208,19 +208,22 @@ def _close_sets(threshold: float):
     return close
 
 
-def set_overlaps(df: DataFrame, id_col: str, split_col: str, set_col: str, threshold: float, least: int = 1, front: float = 1.0) -> DataFrame:
+def set_overlaps(df: DataFrame, id_col: str, split_col: str, set_col: str, threshold: float, least: int = 1, front: float = 0.0) -> DataFrame:
     """(id_a, id_b, overlap): records of train and of an evaluation split whose sets overlap by at least ``threshold``.
 
     Sets of fewer than ``least`` distinct members, null sets and records whose
     split is null or unknown take no part; equal records of either side all come
-    out. ``front`` is as in shared_span_pairs: long texts that share their
-    commonest words with many others need no suffixes of those. A repeated id must carry the same row. The smaller id stands first.
+    out. A repeated id must carry the same row. The smaller id stands first.
+    Of a text of n members the suffixes at places 0 to (1 - threshold) n are
+    read, which is sure: a pair at the threshold lacks at most (1 - threshold) n
+    of either text's members in the other, so its first common member stands no
+    later in both. ``front`` may ask for more of a text, never for less.
     """
     sided = _sided(df, id_col, split_col).select("id", "held_out", F.array_distinct(F.transform(F.array_compact(set_col), lambda w: F.xxhash64(w))).alias("members"))
     sided = stage(sided.filter(F.size("members") >= least).withColumn("digest", F.unhex(F.md5(F.concat_ws(",", F.array_sort("members").cast("array<string>"))))), "sided")
     # records with equal sets on one side are one text
     texts = stage(sided.groupBy("digest", "held_out").agg(F.first("members").alias("members")).withColumn("rid", F.monotonically_increasing_id()), "texts")
-    pairs = shared_span_pairs(rare_first(texts), 1, _parity, _close_sets(threshold), front)
+    pairs = shared_span_pairs(rare_first(texts), 1, _parity, _close_sets(threshold), max(front, 1 - threshold))
     sets = texts.select("rid", "digest", "members")
     both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("digest").alias("da"), F.col("members").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("digest").alias("db"), F.col("members").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))

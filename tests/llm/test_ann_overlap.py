@@ -103,3 +103,28 @@ def test_large_families_lose_no_pair(spark, monkeypatch):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {tuple(sorted((f"v{i:03d}", f"v{j:03d}"))) for i in range(0, 240, 6) for j in range(240) if j % 6 and u[i] @ u[j] >= 0.995}
     assert len(want) > 2000 and got == want
+
+
+def test_no_shared_span_is_cut_at_the_back(spark):
+    """Differences and common members alternate in the order of frequency."""
+    rows = [("x", "test", ["c1", "d", "c2", "c3"]), ("y", "train", ["c1", "c2", "c3"])]
+    rows += [("v", "val", ["k1", "e1", "k2", "e2", "k3", "k4", "k5", "k6"]), ("w", "train", [f"k{i}" for i in range(1, 7)])]
+    order = ["c1", "d", "c2", "c3"], ["k1", "e1", "k2", "e2", "k3", "k4", "k5", "k6"]
+    # a member's frequency (from 4 on) is its place
+    for words in order:
+        rows += [(f"{w}-{i}", "train", [w, f"only {w} {i}", *[f"more {w} {i} {j}" for j in range(4)]]) for at, w in enumerate(words) for i in range(4 + 2 * at)]
+    df = spark.createDataFrame(rows, "id string, s string, w array<string>")
+    assert {(r["id_a"], r["id_b"]) for r in set_overlaps(df, "id", "s", "w", 0.7, front=0.5).collect()} == {("x", "y"), ("v", "w")}
+    assert {(r["id_a"], r["id_b"]) for r in set_overlaps(df, "id", "s", "w", 0.7).collect()} == {("x", "y"), ("v", "w")}
+
+
+def test_sure_front_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(300):
+        base = [f"t{x}" for x in rng.choice(25, rng.integers(1, 12), replace=False)]
+        rows.append((f"r{i:03d}", "train" if i % 2 else "test", base))
+    df = spark.createDataFrame(rows, "id string, s string, w array<string>")
+    for threshold in (0.5, 0.7):
+        want = {tuple(sorted((a, b))) for a, s, v in rows for b, t, w in rows if s == "test" and t == "train" and len({*v} & {*w}) >= threshold * len({*v} | {*w})}
+        assert want and {(r["id_a"], r["id_b"]) for r in set_overlaps(df, "id", "s", "w", threshold).collect()} == want
