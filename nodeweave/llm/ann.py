@@ -238,13 +238,27 @@ class _Cell:
         self.ends = np.append(self.starts[1:], len(of))
 
     def search(self, q: Quantiser, qx: np.ndarray, qid: np.ndarray, q_at: np.ndarray, l_at: np.ndarray, k: int, rerank: int, min_cos: float):
-        """(query rid, member rid, cosine) of the best ``k`` in each list read."""
+        """(query rid, member rid, cosine) of all members with ``min_cos``; without one, of the best ``k`` others of each query in the cell (and those level with the last)."""
         w = qx.shape[1] // q.parts
         out = []
         order = np.argsort(l_at, kind="stable")
         q_at, l_at = q_at[order], l_at[order]
-        bounds = np.searchsorted(l_at, self.lists, side="left"), np.searchsorted(l_at, self.lists, side="right")
-        for i, (lo, hi) in enumerate(zip(*bounds)):
+        floor = np.full(len(qx), -np.inf, np.float32)
+        if min_cos <= -1:
+            # each query's nearest list comes first and its ``rerank``-th approximate similarity is the floor for the others
+            close = np.einsum("ij,ij->i", qx[q_at], q.lists[l_at])
+            by = np.lexsort((-close, q_at))
+            later = np.ones(len(q_at), bool)
+            later[by[np.concatenate(([True], q_at[by][1:] != q_at[by][:-1]))]] = False
+            order = np.lexsort((l_at, later))
+            q_at, l_at, later = q_at[order], l_at[order], later[order]
+            cut = int((~later).sum())
+        else:
+            cut = 0
+        spans = []
+        for a, b in ((0, cut), (cut, len(l_at))):
+            spans += zip(range(len(self.lists)), a + np.searchsorted(l_at[a:b], self.lists, side="left"), a + np.searchsorted(l_at[a:b], self.lists, side="right"))
+        for i, lo, hi in spans:
             if lo == hi:
                 continue
             s, e = self.starts[i], self.ends[i]
@@ -258,17 +272,33 @@ class _Cell:
                     near += (q.books[m] @ x[:, m * w : (m + 1) * w].T)[codes[:, m]]
                 if min_cos > -1:
                     mi, qi = np.nonzero(near >= min_cos - q.slack)
-                elif rerank < e - s:
-                    mi, qi = np.nonzero(near >= np.partition(near, -rerank, axis=0)[-rerank])
                 else:
-                    mi, qi = np.nonzero(near >= -np.inf)
+                    if lo < cut and rerank < e - s:
+                        floor[at] = np.partition(near, -rerank, axis=0)[-rerank]
+                    mi, qi = np.nonzero(near >= floor[at])
                 if len(mi):
                     xm, xq = self.x[s:e][mi].astype(np.float64), x[qi].astype(np.float64)
                     # single-precision unit vectors are not quite of length one
                     cos = np.einsum("ij,ij->i", xm, xq) / np.sqrt(np.einsum("ij,ij->i", xm, xm) * np.einsum("ij,ij->i", xq, xq))
                     ok = cos >= min_cos - 1e-7
                     out.append((qid[at[qi[ok]]], self.rid[s:e][mi[ok]], cos[ok]))
-        return out
+        return out if min_cos > -1 else _best(out, k)
+
+
+def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each query the ``k`` most similar others and those that equal the last to the ninth place."""
+    if not found:
+        return found
+    a, b, c = (np.concatenate(x) for x in zip(*found))
+    other = a != b
+    a, b, c = a[other], b[other], c[other]
+    level = np.round(c, 9)
+    order = np.lexsort((-level, a))
+    a, b, c, level = a[order], b[order], c[order], level[order]
+    starts = np.searchsorted(a, a, side="left")
+    last = np.minimum(starts + k, np.searchsorted(a, a, side="right")) - 1
+    keep = level >= level[last]
+    return [(a[keep], b[keep], c[keep])]
 
 
 def _search(quantiser, dims: int, k: int, rerank: int, min_cos: float):
@@ -312,7 +342,7 @@ def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, dims: int, k: i
     Approximate: a neighbour is missed if its list is not among the ``probes``
     nearest of the ``cells`` nearest cells, or its approximate similarity falls
     short by more than quantising costs (ERROR_SHARE of) the sample; without a
-    ``min_cos`` the ``rerank`` best of each list are reranked instead.
+    ``min_cos`` at least the ``rerank`` best of each cell are reranked instead.
     """
     spark = df.sparkSession
     good = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).filter(
@@ -340,7 +370,13 @@ def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, dims: int, k: i
     routed = entries.select("rid", "vector").mapInArrow(_route(quantiser, dims, min_cos, probes, cells, {c: n for c, n in salts.items() if n > 1}), ROUTED)
     met = routed.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "is_query")
     near = met.mapInArrow(_search(quantiser, dims, k, rerank, min_cos), "q long, m long, cos double")
-    near = stage(near.filter("q <> m").groupBy("q", "m").agg(F.max("cos").alias("cosine")), "near")
+    if min_cos > -1:
+        near = near.filter("q <> m").groupBy("q", "m").agg(F.max("cos").alias("cosine"))
+    else:
+        # a member stands in one list and a query reads a list once; ids decide between the level ones below
+        level = Window.partitionBy("q").orderBy(F.desc(F.round("cos", 9)))
+        near = near.withColumn("r", F.rank().over(level)).filter(F.col("r") <= k).select("q", "m", F.col("cos").alias("cosine"))
+    near = stage(near, "near")
     ids = flat.select("rid", "id")
     near = near.join(ids.select(F.col("rid").alias("q"), F.col("id").alias("q_id")), "q").join(ids.select(F.col("rid").alias("m"), F.col("id").alias("m_id")), "m")
     return _with_copies(copies, near, k)

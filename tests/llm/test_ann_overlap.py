@@ -2,8 +2,11 @@ import numpy as np
 import pytest
 
 import nodeweave.llm.overlap as overlap
+import nodeweave.llm.queries as queries
 from nodeweave.llm.ann import nearest_vectors
 from nodeweave.llm.overlap import set_overlaps, vector_overlaps
+from nodeweave.sources.tables import latest, table
+from tests.conftest import SF
 
 
 def brute(ids, x, k, least):
@@ -41,6 +44,19 @@ def test_neighbours_against_brute_force(spark):
     assert nearest_vectors(df.filter("id = 'n0001'"), "id", "v", 16).count() == 0
 
 
+def test_p2_nearest_gives_every_node_its_neighbours(spark):
+    got = {}
+    for r in queries.p2_nearest(spark, SF).collect():
+        got.setdefault((r["vec"], r["id"]), set()).add(r["neighbour"])
+    for name, column, dims, _ in queries.VECTORS:
+        rows = latest(table(spark, SF, "node_frame"), ["node_id"], ["version"], [column]).collect()
+        rows = [r for r in rows if r[column] is not None and len(r[column]) == dims and any(r[column])]
+        ids = [r["node_id"] for r in rows]
+        want = brute(ids, np.array([r[column] for r in rows], np.float64), 5, -1)
+        assert all(len(got[name, i]) == 5 for i in ids)
+        assert np.mean([len(got[name, i] & set(want[i])) / 5 for i in ids]) >= 0.95
+
+
 def split_of(rng):
     return ["train", "Training ", "val", " TEST", None, "other"][rng.integers(0, 6)]
 
