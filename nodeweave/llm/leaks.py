@@ -119,11 +119,22 @@ def item_words(texts: dict[int, str], common: int = COMMON) -> dict[int, list[st
 
 
 def seeds_needed(seed: int, least: int, per_edit: int) -> int:
-    """The fewest seeds any stretch of ``least`` item words with the allowed edits must hold."""
+    """The fewest seeds a stretch of exactly ``least`` item words with the allowed edits must hold."""
     edits = least // per_edit
     return max(1, (least - edits) - (seed - 1) * (edits + 1))
 
 
+def fewest_seeds(seed: int, least: int, per_edit: int) -> int:
+    """The fewest seeds any stretch of ``least`` or more item words with the allowed edits must hold.
+
+    One more edit comes with every ``per_edit`` words, so a longer stretch may
+    need fewer; from one period to the next the number only grows (or is 1).
+    """
+    if per_edit < seed:
+        return 1
+    return min(seeds_needed(seed, n, per_edit) for n in range(least, least + per_edit))
+
+
 def aligned(item: list[str], doc: list[str], least: int, per_edit: int) -> tuple[int, int, int] | None:
     """(item words, first, last doc word) of the longest stretch of ``least`` or more item words with one edit in ``per_edit`` at most.
 
@@ -170,7 +181,7 @@ def aligned(item: list[str], doc: list[str], least: int, per_edit: int) -> tuple
 
 def _scan(items: list[tuple[int, list[str]]], seed: int, least: int, per_edit: int):
     held: dict = {}
-    needed = seeds_needed(seed, least, per_edit)
+    needed = fewest_seeds(seed, least, per_edit)
 
     def automata():
         if "a" not in held:

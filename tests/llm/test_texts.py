@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import nodeweave.llm.reading as reading
-from nodeweave.llm.leaks import aligned, item_words, leaked_items, plain_words, seeds_needed, words_with_offsets
+from nodeweave.llm.leaks import aligned, fewest_seeds, item_words, leaked_items, plain_words, seeds_needed, words_with_offsets
 from nodeweave.llm.packing import pack, plan_containers, token_counts
 from nodeweave.llm.reading import blocks, prose, reading_level, sentences
 
@@ -67,6 +67,20 @@ def test_leaks(spark):
     assert docs[0][1][one["start"] : one["end"]] == ITEM.upper()[:-1], "offsets are into the original"
 
 
+def test_a_stretch_of_18_words_with_3_edits_is_found(spark):
+    assert fewest_seeds(4, 15, 6) == 3 and fewest_seeds(4, 15, 2) == 1
+    item = [f"word{i}" for i in range(18)]
+    docs = []
+    # every way of leaving four runs of at least three words beside three changed or dropped ones
+    for a in range(3, 13):
+        for b in range(a + 4, 13):
+            for c in range(b + 4, 15):
+                for put in ("x", None):
+                    docs.append((len(docs), " ".join(w for w in (put if i in (a, b, c) else w for i, w in enumerate(item)) if w)))
+    got = leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert len(docs) == 40 and {r["id"] for r in got} == set(range(len(docs)))
+
+
 def test_alignment_against_plain_dynamic_programming():
     def slow(item, doc, least, per):
         best = 0
