@@ -231,7 +231,7 @@ def reading_level(df: DataFrame, id_col: str, text_col: str, share: float = SHAR
 
     ``coverage_rank`` is the size of the smallest frequency-ranked vocabulary that
     covers ``share`` of the document's words (words equally frequent in the corpus
-    share the largest of their ranks). ``score`` is 0.39 words a sentence + 11.8
+    share the largest of their ranks; texts too short for a row count as well). ``score`` is 0.39 words a sentence + 11.8
     vowel groups a word - 15.59, ``level`` 1 to 4 by its bounds 4, 11 and 20.
     ``estimate`` is the least-squares calibration of the score on ln(coverage
     rank) and words a sentence, so texts can be compared by vocabulary as well.
@@ -239,8 +239,9 @@ def reading_level(df: DataFrame, id_col: str, text_col: str, share: float = SHAR
     """
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([picked.schema["id"], *[T.StructField(n, T.LongType()) for n in ("words", "sentences", "vowel_groups")], T.StructField("vocabulary", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
-    docs = stage(spread(picked).mapInArrow(_parse, schema).filter(F.col("words") >= min_words), "prose")
-    used = stage(docs.select(F.explode(F.arrays_zip("vocabulary", "counts")).alias("x")).groupBy(F.col("x.vocabulary").alias("word")).agg(F.sum("x.counts").alias("n")), "vocabulary")
+    parsed = stage(spread(picked).mapInArrow(_parse, schema).filter("words > 0"), "prose")
+    docs = parsed.filter(F.col("words") >= min_words)
+    used = stage(parsed.select(F.explode(F.arrays_zip("vocabulary", "counts")).alias("x")).groupBy(F.col("x.vocabulary").alias("word")).agg(F.sum("x.counts").alias("n")), "vocabulary")
     # words of one frequency are one class; the number of classes is at most the root of twice the corpus
     classes = used.groupBy("n").agg(F.count("*").alias("k")).withColumn("rank", F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)))
     classes = stage(classes.select("n", "rank"), "classes")

@@ -154,3 +154,10 @@ def test_coverage_rank(spark, share, want):
     text = "the " * 30 + "cat is " * 10 + "cat"
     r = reading_level(spark.createDataFrame([(1, text)], "i int, t string"), "i", "t", share=share).first()
     assert r["coverage_rank"] == want
+
+
+def test_short_texts_count_for_the_vocabulary(spark):
+    text = "the " * 30 + "cat is " * 10 + "cat"
+    short = [(i, "The house is in the house and the dog is in the house.") for i in range(2, 42)]
+    more = reading_level(spark.createDataFrame([(1, text), *short], "i int, t string"), "i", "t", share=1.0).collect()
+    assert [r["id"] for r in more] == [1] and more[0]["coverage_rank"] > 3, "words of the short texts rank before cat"
