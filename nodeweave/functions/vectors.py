@@ -13,7 +13,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def col(v: Column | str) -> Column:
     return F.col(v) if isinstance(v, str) else v
 
@@ -80,12 +79,6 @@ def resize(v: Column | str, dims: int) -> Column:
     return F.when(F.size(v) == dims, v).otherwise(normalize(fold(v, dims)))
 
 
-def resize_like(v: Column | str, other: Column | str, sizes: tuple[int, ...]) -> Column:
-    """Resize to the length of another vector, for the lengths that occur."""
-    n = F.size(vec(other))
-    return reduce(lambda e, d: F.when(n == d, resize(v, d)).otherwise(e), sizes, F.lit(None).cast("array<double>"))
-
-
 def add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
@@ -121,7 +114,8 @@ def flip_alternating(v: Column | str) -> Column:
 
 
 def rounded(v: Column | str, places: int = 6) -> Column:
-    return F.transform(vec(v), lambda x: F.round(x, places))
+    """Every member rounded; a zero is never negative."""
+    return F.transform(vec(v), lambda x: F.round(x, places) + F.lit(0.0))
 
 
 def traversal_scalars(confidence: Column | str, hop: Column | str, size: int = 2) -> Column:

@@ -16,16 +16,19 @@ def edge_order() -> list[Column]:
     return [F.desc("confidence"), F.asc("created_at"), F.asc("dst_id")]
 
 
-def current_nodes(frames: DataFrame) -> DataFrame:
-    """The highest version of each node; of equal versions the later delivery.
+def current_nodes(frames: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """The highest version of each node; of equal versions the later delivery, of equal deliveries the greatest by its columns.
 
     A node without id is dropped by the caller's validation; a null expressway is
     false. Metadata travels as its canonical entries, since maps can't be compared.
+    ``only`` names the columns wanted beside node_id, so that no other is read or shuffled.
     """
-    flat = frames.withColumn("entries", F.array_sort(F.map_entries("metadata")))
-    cols = ["version", "ingested_at", "summary_vector", "full_vector", "metadata_vector", "traversal_vector", "summary_payload", "full_payload", "expressway", "entries"]
-    now = latest(flat, ["node_id"], ["version", "ingested_at"], cols)
-    return now.withColumn("metadata", F.map_from_entries("entries")).drop("entries", "ingested_at").withColumn("expressway", F.coalesce("expressway", F.lit(False)))
+    cols = [c for c in ("version", "summary_vector", "full_vector", "metadata_vector", "traversal_vector", "summary_payload", "full_payload", "expressway", "metadata") if only is None or c in only]
+    carried = ["version", "ingested_at", *[c for c in cols if c not in ("version", "metadata")], *(["entries"] if "metadata" in cols else [])]
+    flat = frames.withColumn("entries", F.array_sort(F.map_entries("metadata"))) if "metadata" in cols else frames
+    now = latest(flat, ["node_id"], ["version", "ingested_at"], carried)
+    made = {"metadata": F.map_from_entries("entries"), "expressway": F.coalesce("expressway", F.lit(False))}
+    return now.select("node_id", *[made[c].alias(c) if c in made else c for c in cols])
 
 
 def upsert_edges(frames: DataFrame) -> DataFrame:
@@ -79,9 +82,9 @@ def prune_edges(edges: DataFrame, nodes: DataFrame, node_edges: int = NODE_EDGES
 
 def graph(spark, sf_dir: str, node_edges: int = NODE_EDGES, expressway_edges: int = EXPRESSWAY_EDGES) -> tuple[DataFrame, DataFrame]:
     """(nodes, pruned edges) of the delivered tables."""
-    nodes = current_nodes(table(spark, sf_dir, "node_frame"))
+    frames = table(spark, sf_dir, "node_frame")
     edges = valid_edges(upsert_edges(table(spark, sf_dir, "edge_frame")))
-    return nodes, prune_edges(edges, nodes, node_edges, expressway_edges)
+    return current_nodes(frames), prune_edges(edges, current_nodes(frames, ["expressway"]), node_edges, expressway_edges)
 
 
 def serial(node_id: Column | str) -> Column:

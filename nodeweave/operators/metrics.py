@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nodeweave.session import settled
+
 MILLION = 1_000_000
 
 
@@ -114,12 +116,32 @@ def by_score(rows: DataFrame) -> DataFrame:
     return values.withColumn("cn", F.sum("n").over(down)).withColumn("cp", F.sum("p").over(down))
 
 
+#: Ranges of cases in which candidates of one score are counted by themselves.
+RANGES = 64
+
+
 def average_precision(rows: DataFrame) -> DataFrame:
-    """Over all candidates; equal scores stay in input order (case_id, idx)."""
-    runs = by_score(rows).select("s", (F.col("cn") - F.col("n")).alias("n0"), (F.col("cp") - F.col("p")).alias("p0"))
-    tie = Window.partitionBy("s").orderBy("case_id", "idx")
-    m = prepared(rows).withColumn("j", F.row_number().over(tie)).withColumn("pj", F.sum("label").over(tie.rowsBetween(Window.unboundedPreceding, 0)))
-    hits = m.filter("label = 1").join(runs, "s").select(((F.col("p0") + F.col("pj")) / (F.col("n0") + F.col("j"))).alias("precision"))
+    """Over all candidates; equal scores stay in input order (case_id, idx).
+
+    A score that very many candidates share (0, where scores are missing) is not
+    ordered by one task: candidates are counted by score and range of cases first,
+    and ordered only within both. The ranges are cut at a sample of the case ids,
+    which decides nothing but the sizes.
+    """
+    m = settled(prepared(rows).select("case_id", "idx", "s", "label", "score"), "scored")
+    ids = m.select(F.col("case_id").cast("string").alias("c")).distinct()
+    drawn = ids.select(F.struct(F.xxhash64("c").alias("h"), "c").alias("x")).orderBy("x").limit(RANGES * 8).select("x.c")
+    cuts = sorted(r["c"] for r in drawn.collect())[4::8]
+    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<string>")
+    m = m.withColumn("range", F.size(F.filter(bounds, lambda c: c <= F.col("case_id").cast("string"))))
+    cells = m.groupBy("s", "range").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
+    before = Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("s", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n1"), F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p1"))
+    runs = by_score(m).select("s", (F.col("cn") - F.col("n")).alias("n0"), (F.col("cp") - F.col("p")).alias("p0"))
+    tie = Window.partitionBy("s", "range").orderBy("case_id", "idx")
+    placed = m.withColumn("j", F.row_number().over(tie)).withColumn("pj", F.sum("label").over(tie.rowsBetween(Window.unboundedPreceding, 0)))
+    hits = placed.filter("label = 1").join(cells, ["s", "range"]).join(runs, "s")
+    hits = hits.select(((F.col("p0") + F.col("p1") + F.col("pj")) / (F.col("n0") + F.col("n1") + F.col("j"))).alias("precision"))
     return hits.agg(F.count("*").alias("positives"), F.round(F.coalesce(F.avg("precision"), F.lit(0.0)), 6).alias("average_precision"))
 
 
@@ -189,23 +211,68 @@ def gates(metrics: DataFrame, least: dict[str, float]) -> DataFrame:
     return got.select("metric", "value", "least", (F.coalesce("value", F.lit(0.0)) >= F.col("least")).alias("passed"))
 
 
-def pairwise_loss(rows: DataFrame, margin: float = 0.2, min_delta: float = 0.05) -> DataFrame:
-    """Margin loss over the pairs of a case whose targets differ by ``min_delta``; the margin grows with the gap.
+#: Candidates of one case that one task holds against the others of the case, about.
+CASE_ROWS = 512
+
+
+def target_pairs(rows: DataFrame, min_delta: float = 0.05) -> DataFrame:
+    """Pairs of a case whose targets differ by ``min_delta`` or more, the greater first: case_id and score, target, weight of both (1 and 2).
 
-    A case is one row with its candidates as an array, so pairs exist only inside
-    an expression. rows has score, target and weight (null weights count as 1).
+    rows has case_id, score, target, weight (null counts as 1). The pairs go
+    straight into an aggregate; a large case is dealt over salts, so that no task holds it alone.
     """
-    x = F.transform(F.array_sort(F.collect_list(F.struct("idx", F.col("score").alias("s"), F.col("target").alias("t"), F.coalesce("weight", F.lit(1.0)).alias("w")))), lambda r: r)
-    cases = rows.groupBy("case_id").agg(x.alias("x"))
+    m = rows.filter("target is not null").select("case_id", "idx", "score", "target", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    width = m.groupBy("case_id").agg(F.ceil(F.count("*") / CASE_ROWS).cast("int").alias("width"))
+    m = m.join(width, "case_id")
+    one = m.select("case_id", F.pmod(F.xxhash64("idx"), F.col("width")).cast("int").alias("salt"), *[F.col(c).alias(f"{c}1") for c in ("score", "target", "weight")])
+    two = m.select("case_id", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("salt"), *[F.col(c).alias(f"{c}2") for c in ("score", "target", "weight")])
+    return one.join(two, ["case_id", "salt"]).filter(F.col("target1") - F.col("target2") >= min_delta)
 
-    def over_pairs(value) -> Column:
-        return F.aggregate("x", F.lit(0.0), lambda a, p: a + F.aggregate("x", F.lit(0.0), lambda b, q: b + F.when(p["t"] - q["t"] >= min_delta, value(p, q)).otherwise(0.0)))
 
-    def weight(p, q) -> Column:
-        return F.sqrt(F.greatest(p["w"], F.lit(0.0)) * F.greatest(q["w"], F.lit(0.0)))
+def target_pairwise(rows: DataFrame, min_delta: float = 0.05) -> DataFrame:
+    """(pairs, alike): pairs of all cases with clearly different targets, and those that the scores order the same way."""
+    p = target_pairs(rows, min_delta)
+    return p.agg(F.count("*").alias("pairs"), F.count_if(F.col("score1") > F.col("score2")).alias("alike"))
 
-    loss = cases.select(over_pairs(lambda p, q: weight(p, q) * F.greatest(F.lit(0.0), margin * F.greatest(p["t"] - q["t"], F.lit(0.0)) - (p["s"] - q["s"]))).alias("l"), over_pairs(weight).alias("w"), over_pairs(lambda p, q: F.lit(1.0)).alias("n"))
-    return loss.filter("n > 0").agg(F.count("*").alias("cases"), F.round(F.coalesce(F.avg(F.col("l") / F.greatest("w", F.lit(1e-12))), F.lit(0.0)), 6).alias("loss"))
+
+def target_pairwise_sampled(rows: DataFrame, pairs: int = 200_000, min_delta: float = 0.05, seed: int = 0) -> DataFrame:
+    """(pairs, alike) over about ``pairs`` pairs drawn from all candidates, whatever their case.
+
+    Every candidate draws partners by hash(seed, candidate, draw); a pair drawn twice
+    counts once, one of nearly equal targets not at all. Nothing is collected. The
+    draws are the same wherever the rows stand. All pairs of a small table are drawn
+    by none of this: take target_pairwise there.
+    """
+    if pairs < 1:
+        raise ValueError("pairs must be positive")
+    m = rows.filter("target is not null").select("case_id", "idx", "score", "target")
+    # numbers are counted in hash buckets: the order is any fixed one
+    b = m.withColumn("b", F.pmod(F.xxhash64("case_id", "idx"), F.lit(4096)).cast("int"))
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = b.groupBy("b").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    n = sizes.agg(F.sum("n")).first()[0] or 0
+    place = F.row_number().over(Window.partitionBy("b").orderBy("case_id", "idx"))
+    numbered = settled(b.join(sizes.select("b", "first"), "b").select((F.col("first") + place - 1).alias("i"), "score", "target"), "numbered")
+    each = -(-pairs // max(1, n))
+    share = pairs / max(1, n * each)
+    drawn = numbered.select("i", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("k")).filter(F.pmod(F.xxhash64(F.lit(seed), "i", "k", F.lit("keep")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    other = F.pmod(F.col("i") + 1 + F.pmod(F.xxhash64(F.lit(seed), "i", "k"), F.lit(max(1, n - 1))), F.lit(max(1, n)))
+    drawn = drawn.withColumn("j", other).filter("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    both = drawn.join(numbered, "i").join(numbered.select(F.col("i").alias("j"), F.col("score").alias("s2"), F.col("target").alias("t2")), "j")
+    p = both.filter(F.abs(F.col("target") - F.col("t2")) >= min_delta)
+    return p.agg(F.count("*").alias("pairs"), F.count_if((F.col("target") - F.col("t2")) * (F.col("score") - F.col("s2")) > 0).alias("alike"))
+
+
+def pairwise_loss(rows: DataFrame, margin: float = 0.2, min_delta: float = 0.05) -> DataFrame:
+    """Margin loss over the pairs of a case whose targets differ by ``min_delta``; the margin grows with the gap.
+
+    rows has score, target and weight (null weights count as 1). Pairs are made and summed by
+    many tasks and never kept.
+    """
+    weight = F.sqrt(F.greatest("weight1", F.lit(0.0)) * F.greatest("weight2", F.lit(0.0)))
+    loss = F.greatest(F.lit(0.0), margin * (F.col("target1") - F.col("target2")) - (F.col("score1") - F.col("score2")))
+    per = target_pairs(rows, min_delta).groupBy("case_id").agg(F.sum(weight * loss).alias("l"), F.sum(weight).alias("w"))
+    return per.agg(F.count("*").alias("cases"), F.round(F.coalesce(F.avg(F.col("l") / F.greatest("w", F.lit(1e-12))), F.lit(0.0)), 6).alias("loss"))
 
 
 def listwise_loss(rows: DataFrame, temperature: float = 0.15) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A scorer is anything with ``edge_columns(df)`` and ``attach_column(df)``. The edge
 input has query, cur_eff, dst_eff, dst_summary, dst_full, edge_vector, path,
-confidence and hop; the output has the six scores. Scorers made of column
-expressions stay in the JVM; neural ones go through Arrow batches (models.py).
+confidence and hop; the output has the six scores. All of a row's similarities
+are worked out in one Arrow batch (functions/batch.py), the neural ones too (models.py).
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeweave.functions.vectors import clamp01, cosine01, resize
+from nodeweave.functions import batch as B
+from nodeweave.functions.vectors import clamp01
 
 SCORES = ("follow", "read_full", "include", "expand", "stop", "result")
 
@@ -25,11 +27,14 @@ class Scorer(Protocol):
     def attach_column(self, df: DataFrame) -> DataFrame: ...
 
 
-def _named(df: DataFrame, **parts: Column) -> DataFrame:
-    """Columns one after another, so that later ones can use earlier ones by name."""
-    for name, c in parts.items():
-        df = df.withColumn(name, c)
-    return df
+def _clip(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, 0.0, 1.0)
+
+
+def _blend(q2d: np.ndarray, c2d: np.ndarray, q2e: np.ndarray, p2d: np.ndarray, conf: np.ndarray, hop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(follow, include by summary, expand) of the five similarities."""
+    follow = _clip(0.50 * q2d + 0.15 * c2d + 0.20 * q2e + 0.05 * p2d + 0.10 * conf - 0.03 * hop)
+    return follow, _clip(0.80 * q2d + 0.10 * q2e + 0.10 * conf), _clip(0.80 * follow + 0.20 * c2d - 0.05 * hop)
 
 
 @dataclass(frozen=True)
@@ -39,28 +44,26 @@ class HeuristicScorer:
     edge_dims: int = 16
 
     def edge_columns(self, df: DataFrame) -> DataFrame:
-        c = F.col
-        sim = _named(
-            df, _q2d=cosine01("query", "dst_eff"), _c2d=cosine01("cur_eff", "dst_eff"), _q2e=cosine01(resize("query", self.edge_dims), "edge_vector"), _p2d=cosine01("path", "dst_eff"), _q2f=cosine01("query", "dst_full"),
-        )
-        conf = c("confidence")
-        out = _named(
-            sim,
-            follow=clamp01(0.50 * c("_q2d") + 0.15 * c("_c2d") + 0.20 * c("_q2e") + 0.05 * c("_p2d") + 0.10 * conf - 0.03 * c("hop")),
-            _summary=clamp01(0.80 * c("_q2d") + 0.10 * c("_q2e") + 0.10 * conf),
-            include=F.when(c("dst_full").isNull(), c("_summary")).otherwise(clamp01(0.55 * c("_summary") + 0.45 * c("_q2f"))),
-            read_full=F.when(c("dst_full").isNull(), c("_summary")).otherwise(clamp01(0.75 * c("_summary") + 0.25 * c("follow"))),
-            expand=clamp01(0.80 * c("follow") + 0.20 * c("_c2d") - 0.05 * c("hop")),
-            stop=clamp01(1.0 - c("expand")),
-            result=clamp01(0.80 * c("include") + 0.15 * c("read_full") + 0.05 * c("follow")),
-        )
-        return out.drop("_q2d", "_c2d", "_q2e", "_p2d", "_q2f", "_summary")
+        dims = self.edge_dims
+
+        def score(query, cur, dst, full, edge, path, conf, hop) -> dict[str, np.ndarray]:
+            q2d, c2d = B.cosine01(query, dst), B.cosine01(cur, dst)
+            q2e, p2d = B.cosine01(B.resize(query, dims), edge), B.cosine01(path, dst)
+            follow, summary, expand = _blend(q2d, c2d, q2e, p2d, conf, hop)
+            include = np.where(full.there, _clip(0.55 * summary + 0.45 * B.cosine01(query, full)), summary)
+            read_full = np.where(full.there, _clip(0.75 * summary + 0.25 * follow), summary)
+            return {"follow": follow, "read_full": read_full, "include": include, "expand": expand, "stop": _clip(1.0 - expand), "result": _clip(0.80 * include + 0.15 * read_full + 0.05 * follow)}
+
+        return B.with_scores(df, ["query", "cur_eff", "dst_eff", "dst_full", "edge_vector", "path"], ["confidence", "hop"], SCORES, score)
 
     def attach_column(self, df: DataFrame) -> DataFrame:
         """attach from new_eff, cand_eff, new_full, cand_full, new_summary, cand_summary, path; the full match falls back to the summaries where either full vector is missing."""
-        both = F.col("new_full").isNotNull() & F.col("cand_full").isNotNull()
-        full = F.when(both, cosine01("new_full", "cand_full")).otherwise(cosine01("new_summary", "cand_summary"))
-        return df.withColumn("attach", clamp01(0.60 * cosine01("new_eff", "cand_eff") + 0.30 * full + 0.10 * cosine01("path", "cand_eff")))
+
+        def score(new, cand, new_full, cand_full, new_summary, cand_summary, path) -> dict[str, np.ndarray]:
+            full = np.where(new_full.there & cand_full.there, B.cosine01(new_full, cand_full), B.cosine01(new_summary, cand_summary))
+            return {"attach": _clip(0.60 * B.cosine01(new, cand) + 0.30 * full + 0.10 * B.cosine01(path, cand))}
+
+        return B.with_scores(df, ["new_eff", "cand_eff", "new_full", "cand_full", "new_summary", "cand_summary", "path"], [], ["attach"], score)
 
 
 @dataclass(frozen=True)
@@ -68,15 +71,19 @@ class RelationScorer:
     """One score led by the edge's own vector; never expands."""
 
     def edge_columns(self, df: DataFrame) -> DataFrame:
-        score = clamp01(0.68 * cosine01("query", "edge_vector") + 0.18 * cosine01("query", "dst_summary") + 0.04 * cosine01("path", "dst_summary") + 0.10 * F.col("confidence"))
-        out = df.withColumn("follow", score)
-        for name in ("read_full", "include", "result"):
-            out = out.withColumn(name, F.col("follow"))
-        return out.withColumn("expand", F.lit(0.0)).withColumn("stop", F.lit(1.0))
+        def score(query, edge, dst, path, conf) -> dict[str, np.ndarray]:
+            s = _clip(0.68 * B.cosine01(query, edge) + 0.18 * B.cosine01(query, dst) + 0.04 * B.cosine01(path, dst) + 0.10 * conf)
+            return {n: s for n in ("follow", "read_full", "include", "result")} | {"expand": np.zeros(len(s)), "stop": np.ones(len(s))}
+
+        return B.with_scores(df, ["query", "edge_vector", "dst_summary", "path"], ["confidence"], SCORES, score)
 
     def attach_column(self, df: DataFrame) -> DataFrame:
         """attach from new_route, cand_route, new_summary, cand_summary and path."""
-        return df.withColumn("attach", clamp01(0.70 * cosine01("new_route", "cand_route") + 0.20 * cosine01("new_summary", "cand_summary") + 0.10 * cosine01("path", "cand_summary")))
+
+        def score(new, cand, new_summary, cand_summary, path) -> dict[str, np.ndarray]:
+            return {"attach": _clip(0.70 * B.cosine01(new, cand) + 0.20 * B.cosine01(new_summary, cand_summary) + 0.10 * B.cosine01(path, cand_summary))}
+
+        return B.with_scores(df, ["new_route", "cand_route", "new_summary", "cand_summary", "path"], [], ["attach"], score)
 
 
 @dataclass(frozen=True)
@@ -96,17 +103,12 @@ class FixedScorer:
 
 def edge_targets(df: DataFrame, edge_dims: int = 16) -> DataFrame:
     """Training targets of raw summaries: query, current_summary, edge, dst_summary, path, confidence, hop."""
-    c = F.col
-    sim = _named(df, _q2d=cosine01("query", "dst_summary"), _c2d=cosine01("current_summary", "dst_summary"), _q2e=cosine01(resize("query", edge_dims), "edge"), _p2d=cosine01("path", "dst_summary"))
-    out = _named(
-        sim,
-        follow=clamp01(0.50 * c("_q2d") + 0.15 * c("_c2d") + 0.20 * c("_q2e") + 0.05 * c("_p2d") + 0.10 * c("confidence") - 0.03 * c("hop")),
-        include=clamp01(0.80 * c("_q2d") + 0.10 * c("_q2e") + 0.10 * c("confidence")),
-        read_full=clamp01(0.75 * c("include") + 0.25 * c("follow")),
-        expand=clamp01(0.80 * c("follow") + 0.20 * c("_c2d") - 0.05 * c("hop")),
-        stop=clamp01(1.0 - c("expand")),
-    )
-    return out.drop("_q2d", "_c2d", "_q2e", "_p2d")
+
+    def score(query, cur, edge, dst, path, conf, hop) -> dict[str, np.ndarray]:
+        follow, include, expand = _blend(B.cosine01(query, dst), B.cosine01(cur, dst), B.cosine01(B.resize(query, edge_dims), edge), B.cosine01(path, dst), conf, hop)
+        return {"follow": follow, "include": include, "read_full": _clip(0.75 * include + 0.25 * follow), "expand": expand, "stop": _clip(1.0 - expand)}
+
+    return B.with_scores(df, ["query", "current_summary", "edge", "dst_summary", "path"], ["confidence", "hop"], ("follow", "include", "read_full", "expand", "stop"), score)
 
 
 def attach_gate(summary: Column, full: Column, path: Column) -> Column:
@@ -117,14 +119,12 @@ def attach_gate(summary: Column, full: Column, path: Column) -> Column:
 
 def bootstrap_teacher(df: DataFrame, edge_dims: int = 16) -> DataFrame:
     """Teacher scores from same_topic (0 or 1) and similarities; input as for edge_columns."""
-    c = F.col
-    sim = _named(df, _q=cosine01("query", "dst_eff"), _e=cosine01(resize("query", edge_dims), "edge_vector"), _p=cosine01("path", "dst_eff"), _c=cosine01("cur_eff", "dst_eff"))
-    out = _named(
-        sim,
-        follow=clamp01(0.58 * c("same_topic") + 0.22 * c("_q") + 0.12 * c("_e") + 0.08 * c("confidence")),
-        include=clamp01(0.65 * c("same_topic") + 0.25 * c("_q") + 0.10 * c("_p")),
-        expand=clamp01(0.50 * c("same_topic") + 0.20 * c("_c") + 0.20 * c("confidence") + 0.10 * c("_e")),
-        read_full=clamp01(0.45 * (1.0 - 2.0 * F.abs(c("_q") - 0.5)) + 0.25 * (1.0 - c("same_topic")) + 0.30 * c("include")),
-        stop=clamp01(1.0 - c("expand")),
-    )
-    return out.drop("_q", "_e", "_p", "_c")
+
+    def score(query, cur, dst, edge, path, conf, topic) -> dict[str, np.ndarray]:
+        q, e, p, c = B.cosine01(query, dst), B.cosine01(B.resize(query, edge_dims), edge), B.cosine01(path, dst), B.cosine01(cur, dst)
+        include = _clip(0.65 * topic + 0.25 * q + 0.10 * p)
+        expand = _clip(0.50 * topic + 0.20 * c + 0.20 * conf + 0.10 * e)
+        read_full = _clip(0.45 * (1.0 - 2.0 * np.abs(q - 0.5)) + 0.25 * (1.0 - topic) + 0.30 * include)
+        return {"follow": _clip(0.58 * topic + 0.22 * q + 0.12 * e + 0.08 * conf), "include": include, "expand": expand, "read_full": read_full, "stop": _clip(1.0 - expand)}
+
+    return B.with_scores(df, ["query", "cur_eff", "dst_eff", "edge_vector", "path"], ["confidence", "same_topic"], ("follow", "include", "expand", "read_full", "stop"), score)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nodeweave.functions import batch as B
 from nodeweave.functions import vectors as V
 from nodeweave.operators import index as I
 from nodeweave.operators import metrics as M
@@ -13,15 +14,25 @@ from nodeweave.operators.models import MlpScorer, TransformerScorer
 from nodeweave.operators.scorers import SCORES, HeuristicScorer, RelationScorer, bootstrap_teacher
 from nodeweave.plans.insert import InsertConfig, attach, attached_edges
 from nodeweave.plans.traverse import TraversalConfig, node_side, ranked, traverse
-from nodeweave.session import stage
+from nodeweave.session import held, stage
 from nodeweave.sources.tables import table
 
 CONFIG = I.IndexConfig()
 LIMIT = 10
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return current_nodes(table(spark, d, "node_frame"))
+def _nodes(spark: SparkSession, d: str, *only: str) -> DataFrame:
+    """Current nodes with the named columns, written once; all columns, as a plan, if none is named."""
+    now = current_nodes(table(spark, d, "node_frame"), list(only) or None)
+    return stage(now, "current_nodes") if only else now
+
+
+def _topics(spark: SparkSession, d: str) -> DataFrame:
+    """(node_id, topic) of current nodes, an empty topic where there is none."""
+    return current_nodes(table(spark, d, "node_frame"), ["metadata"]).select("node_id", F.coalesce(F.col("metadata")["topic"], F.lit("")).alias("topic"))
+
+
+VECTORS = ("summary_vector", "metadata_vector", "full_vector", "traversal_vector", "expressway")
 
 
 def node_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -49,62 +60,63 @@ def edge_prune(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _eff(nodes: DataFrame) -> DataFrame:
-    return nodes.select("node_id", V.effective("summary_vector", "metadata_vector", 32).alias("eff"))
+    return nodes.select("node_id", B.effective_column("summary_vector", "metadata_vector", 32).alias("eff"))
 
 
 def nearest_summary(spark: SparkSession, d: str) -> DataFrame:
     """The 10 nearest nodes by effective summary for every node whose number is divisible by 100."""
-    n = _nodes(spark, d)
+    n = _nodes(spark, d, "summary_vector", "metadata_vector")
     q = query_nodes(n).select(F.col("node_id").alias("query_id"), V.vec("summary_vector").alias("q"))
     return I.exact_topk(_eff(n), "node_id", "eff", q, LIMIT).select("query_id", "node_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def exact_topk(spark: SparkSession, d: str) -> DataFrame:
     """The 10 greatest products of unit summaries for the same queries."""
-    n = _nodes(spark, d)
-    unit = n.select("node_id", V.normalize("summary_vector").alias("v"))
+    n = _nodes(spark, d, "summary_vector")
+    unit = n.select("node_id", B.unit_column("summary_vector").alias("v"))
     q = query_nodes(n).select(F.col("node_id").alias("query_id"), V.normalize("summary_vector").alias("q"))
     return I.exact_topk(unit, "node_id", "v", q, LIMIT, cosine=False).select("query_id", "node_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-def _index(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vectors, bucket rows) of all nodes at the index's length."""
+def _index(nodes: DataFrame) -> tuple[DataFrame, DataFrame, I.IndexConfig]:
+    """(vectors, bucket rows, config) of all nodes at the index's length; a large graph gets more bits than a small one."""
     v = stage(nodes.select(F.col("node_id").alias("id"), I.index_vector(nodes, CONFIG).alias("v")).filter("v is not null"), "index_vectors")
-    return v, I.buckets(v, "id", F.col("v"), CONFIG)
+    config = I.IndexConfig.sized(v.count())
+    return v, I.buckets(v, "id", F.col("v"), config), config
 
 
 def lsh_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return _index(_nodes(spark, d))[1]
+    return _index(_nodes(spark, d, "summary_vector", "traversal_vector"))[1]
 
 
 def lsh_replace(spark: SparkSession, d: str) -> DataFrame:
     """Rows by table after the decoys were added again with their vectors negated and the hubs removed."""
-    n = _nodes(spark, d)
-    v, b = _index(n)
+    n = _nodes(spark, d, "summary_vector", "traversal_vector", "metadata", "expressway")
+    v, b, config = _index(n)
     decoys = n.filter(F.col("metadata")["kind"] == "decoy").select("node_id")
     again = v.join(decoys.withColumnRenamed("node_id", "id"), "id", "left_semi").select("id", V.negate("v").alias("v"))
     gone = n.filter("expressway").select(F.col("node_id").alias("id"))
-    after = I.replace_buckets(b, I.buckets(again, "id", F.col("v"), CONFIG), gone)
+    after = I.replace_buckets(b, I.buckets(again, "id", F.col("v"), config), gone)
     return after.groupBy("table_id", "bucket_id").agg(F.count("*").alias("nodes"))
 
 
 def _lsh(nodes: DataFrame, limit: int) -> DataFrame:
-    v, b = _index(nodes)
-    q = query_nodes(nodes).select(F.col("node_id").alias("id"), V.resize("summary_vector", CONFIG.dims).alias("v"))
-    return I.query_index(b, v, q.select(F.col("id").alias("query_id"), F.col("v").alias("q")), I.buckets(q, "id", F.col("v"), CONFIG), CONFIG.tables, limit)
+    v, b, config = _index(nodes)
+    q = stage(query_nodes(nodes).select(F.col("node_id").alias("id"), V.resize("summary_vector", CONFIG.dims).alias("v")), "index_queries")
+    return I.query_index(b, v, q.select(F.col("id").alias("query_id"), F.col("v").alias("q")), I.buckets(q, "id", F.col("v"), config), CONFIG.tables, limit)
 
 
 def lsh_query(spark: SparkSession, d: str) -> DataFrame:
-    return _lsh(_nodes(spark, d), LIMIT).select("query_id", "node_id", F.round("score", 6).alias("score"), "matches", F.col("rank").cast("bigint").alias("rank"))
+    return _lsh(_nodes(spark, d, "summary_vector", "traversal_vector"), LIMIT).select("query_id", "node_id", F.round("score", 6).alias("score"), "matches", F.col("rank").cast("bigint").alias("rank"))
 
 
 def lsh_seeds(spark: SparkSession, d: str) -> DataFrame:
-    return _lsh(_nodes(spark, d), 4).select("query_id", "node_id")
+    return _lsh(_nodes(spark, d, "summary_vector", "traversal_vector"), 4).select("query_id", "node_id")
 
 
 def seed_fill(spark: SparkSession, d: str) -> DataFrame:
     """Four seeds a query: from the index, then the nearest summaries for what is missing."""
-    n = _nodes(spark, d)
+    n = _nodes(spark, d, "summary_vector", "metadata_vector", "traversal_vector")
     first = _lsh(n, 4).select("query_id", "node_id", F.lit(0).alias("tier"), "rank")
     q = query_nodes(n).select(F.col("node_id").alias("query_id"), V.vec("summary_vector").alias("q"))
     rest = I.exact_topk(_eff(n), "node_id", "eff", q, 4).select("query_id", "node_id", F.lit(1).alias("tier"), "rank")
@@ -116,10 +128,10 @@ def seed_fill(spark: SparkSession, d: str) -> DataFrame:
 def _edge_rows(spark: SparkSession, d: str) -> DataFrame:
     """Scorer input for every kept edge: its source's summary is the query and its source the path."""
     n, e = graph(spark, d)
-    side = stage(node_side(n, 32), "nodes")
-    src = side.select(F.col("node_id").alias("src_id"), F.col("summary").alias("query"), F.col("eff").alias("cur_eff"))
+    side = stage(node_side(n, 32).withColumn("path", B.unit_column("eff")), "nodes")
+    src = side.select(F.col("node_id").alias("src_id"), F.col("summary").alias("query"), F.col("eff").alias("cur_eff"), "path")
     dst = side.select(F.col("node_id").alias("dst_id"), F.col("eff").alias("dst_eff"), F.col("summary").alias("dst_summary"), F.col("full").alias("dst_full"))
-    return e.select("src_id", "dst_id", V.vec("edge_vector").alias("edge_vector"), "confidence").join(src, "src_id").join(dst, "dst_id").withColumn("path", V.normalize("cur_eff")).withColumn("hop", F.lit(0))
+    return e.select("src_id", "dst_id", V.vec("edge_vector").alias("edge_vector"), "confidence").join(src, "src_id").join(dst, "dst_id").withColumn("hop", F.lit(0))
 
 
 def _rounded(df: DataFrame, *keys: str) -> DataFrame:
@@ -131,8 +143,9 @@ def score_edge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_relation(spark: SparkSession, d: str) -> DataFrame:
-    r = _edge_rows(spark, d).withColumn("query", V.resize("query", 16))
-    r = r.withColumn("dst_summary", V.resize("dst_summary", 16)).withColumn("path", V.resize("path", 16))
+    r = _edge_rows(spark, d)
+    for name in ("query", "dst_summary", "path"):
+        r = r.withColumn(name, B.resize_column(name, 16))
     return _rounded(RelationScorer().edge_columns(r), "src_id", "dst_id")
 
 
@@ -146,7 +159,7 @@ def score_transformer(spark: SparkSession, d: str) -> DataFrame:
 
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrap teacher of every kept edge, same topic meaning the same topic as the source."""
-    n = _nodes(spark, d).select("node_id", F.col("metadata")["topic"].alias("topic"))
+    n = current_nodes(table(spark, d, "node_frame"), ["metadata"]).select("node_id", F.col("metadata")["topic"].alias("topic"))
     r = _edge_rows(spark, d).join(n.select(F.col("node_id").alias("src_id"), F.col("topic").alias("st")), "src_id").join(n.select(F.col("node_id").alias("dst_id"), F.col("topic").alias("dt")), "dst_id")
     r = r.withColumn("same_topic", F.when(F.col("st") == F.col("dt"), 1.0).otherwise(0.0))
     return bootstrap_teacher(r).select("src_id", "dst_id", *[F.round(s, 6).alias(s) for s in ("follow", "read_full", "include", "expand", "stop")])
@@ -154,12 +167,12 @@ def bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 def _attach_rows(spark: SparkSession, d: str) -> DataFrame:
     n, e = graph(spark, d)
+    sides = stage(n.select("node_id", B.effective_column("summary_vector", "metadata_vector", 32).alias("eff"), V.vec("summary_vector").alias("summary"), V.vec("full_vector").alias("full"), V.vec("traversal_vector").alias("route")).withColumn("path", B.unit_column("eff")), "sides")
 
     def side(prefix: str, key: str) -> DataFrame:
-        s, m = "summary_vector", "metadata_vector"
-        return n.select(F.col("node_id").alias(key), V.effective(s, m, 32).alias(f"{prefix}_eff"), V.vec(s).alias(f"{prefix}_summary"), V.vec("full_vector").alias(f"{prefix}_full"), V.vec("traversal_vector").alias(f"{prefix}_route"))
+        return sides.select(F.col("node_id").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in ("eff", "summary", "full", "route")], *([F.col("path")] if prefix == "cand" else []))
 
-    return e.select("src_id", "dst_id").join(side("new", "src_id"), "src_id").join(side("cand", "dst_id"), "dst_id").withColumn("path", V.normalize("cand_eff"))
+    return e.select("src_id", "dst_id").join(side("new", "src_id"), "src_id").join(side("cand", "dst_id"), "dst_id")
 
 
 def score_attach(spark: SparkSession, d: str) -> DataFrame:
@@ -172,8 +185,8 @@ def score_relation_attach(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _traversal(spark: SparkSession, d: str, seeds: str = "self", **config) -> DataFrame:
-    n, e = graph(spark, d)
-    n = stage(n.select("node_id", "summary_vector", "metadata_vector", "full_vector", "traversal_vector", "expressway"), "graph_nodes")
+    _, e = graph(spark, d)
+    n = _nodes(spark, d, *VECTORS)
     q = query_nodes(n)
     asked = q.select(F.col("node_id").alias("query_id"), F.col("summary_vector").alias("query"))
     start = q.select(F.col("node_id").alias("query_id"), F.col("node_id").alias("seed_id")) if seeds == "self" else _lsh(n, 4).select("query_id", F.col("node_id").alias("seed_id"))
@@ -210,11 +223,10 @@ def traverse_rejected(spark: SparkSession, d: str) -> DataFrame:
 
 def _deliveries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, new): the query nodes are taken out of the graph and delivered again as new."""
-    n, e = graph(spark, d)
-    n = stage(n.select("node_id", "summary_vector", "metadata_vector", "full_vector", "traversal_vector", "expressway"), "graph_nodes")
-    new = query_nodes(n)
-    old = n.join(new.select("node_id"), "node_id", "left_anti")
-    return old, e, new
+    _, e = graph(spark, d)
+    n = _nodes(spark, d, *VECTORS)
+    new = stage(query_nodes(n), "delivered")
+    return n.join(held(new.select("node_id")), "node_id", "left_anti"), e, new
 
 
 def insert_attach(spark: SparkSession, d: str) -> DataFrame:
@@ -232,30 +244,34 @@ def insert_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def eval_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """The index's 10 against the exact 10 by traversal vector, per query."""
-    n = _nodes(spark, d)
+    n = _nodes(spark, d, "summary_vector", "traversal_vector")
     v = n.select("node_id", I.index_vector(n, CONFIG).alias("v"))
     q = query_nodes(n).select(F.col("node_id").alias("query_id"), V.resize("summary_vector", CONFIG.dims).alias("q"))
     exact = I.exact_topk(v, "node_id", "v", q, LIMIT).select("query_id", "node_id")
     return M.retrieval(_lsh(n, LIMIT).select("query_id", "node_id", "rank"), exact, LIMIT)
 
 
+def _methods(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, node_id, rank, method): what each method returns, best first, over the stated queries."""
+    n = _nodes(spark, d, *VECTORS)
+    q = query_nodes(n).select(F.col("node_id").alias("query_id"), V.vec("summary_vector").alias("q"))
+    exact = I.exact_topk(_eff(n), "node_id", "eff", q, LIMIT).select("query_id", "node_id", "rank", F.lit("exact").alias("method"))
+    by_index = _lsh(n, LIMIT).select("query_id", "node_id", "rank", F.lit("index").alias("method"))
+    walk = ranked(_traversal(spark, d, "index", fanout=6, beam_width=6)).filter(F.col("included_rank") <= LIMIT)
+    return exact.unionByName(by_index).unionByName(walk.select("query_id", "node_id", F.col("included_rank").alias("rank"), F.lit("traversal").alias("method")))
+
+
 def compare_methods(spark: SparkSession, d: str) -> DataFrame:
     """Share of a query's topic among what each method returns: exact search, the index, and index-seeded traversal."""
-    n = _nodes(spark, d)
-    q = query_nodes(n).select(F.col("node_id").alias("query_id"), V.vec("summary_vector").alias("q"))
-    exact = I.exact_topk(_eff(n), "node_id", "eff", q, LIMIT).select("query_id", "node_id", F.lit("exact").alias("method"))
-    by_index = _lsh(n, LIMIT).select("query_id", "node_id", F.lit("index").alias("method"))
-    walk = ranked(_traversal(spark, d, "index", fanout=6, beam_width=6)).filter(F.col("included_rank") <= LIMIT).select("query_id", "node_id", F.lit("traversal").alias("method"))
-    topics = n.select("node_id", F.coalesce(F.col("metadata")["topic"], F.lit("")).alias("topic"))
-    rows = exact.unionByName(by_index).unionByName(walk).join(topics, "node_id").join(topics.select(F.col("node_id").alias("query_id"), F.col("topic").alias("wanted")), "query_id")
+    topics = _topics(spark, d)
+    rows = _methods(spark, d).join(topics, "node_id").join(topics.select(F.col("node_id").alias("query_id"), F.col("topic").alias("wanted")), "query_id")
     return rows.groupBy("method").agg(F.count("*").alias("returned"), F.countDistinct("query_id").alias("queries"), F.round(F.avg((F.col("topic") == F.col("wanted")).cast("double")), 6).alias("same_topic"))
 
 
 def indexed_purity(spark: SparkSession, d: str) -> DataFrame:
     """Topic purity of what an index-seeded traversal includes; a query without results has 0."""
-    n = _nodes(spark, d)
-    topics = n.select("node_id", F.coalesce(F.col("metadata")["topic"], F.lit("")).alias("topic"))
-    asked = query_nodes(n).select(F.col("node_id").alias("query_id")).join(topics.select(F.col("node_id").alias("query_id"), F.col("topic").alias("wanted")), "query_id")
+    topics = _topics(spark, d)
+    asked = query_nodes(topics).select(F.col("node_id").alias("query_id"), F.col("topic").alias("wanted"))
     got = _traversal(spark, d, "index", fanout=6, beam_width=6).filter("included").select("query_id", "node_id").join(topics, "node_id")
     hits = asked.join(got, "query_id", "left").groupBy("query_id").agg(F.count("node_id").alias("included"), F.sum((F.col("topic") == F.col("wanted")).cast("int")).alias("same"))
     return hits.select("query_id", "included", F.round(F.coalesce(F.col("same") / F.col("included"), F.lit(0.0)), 6).alias("purity"))
@@ -263,57 +279,17 @@ def indexed_purity(spark: SparkSession, d: str) -> DataFrame:
 
 def topic_neighbors(spark: SparkSession, d: str) -> DataFrame:
     """For every query node: its 4 nearest nodes of the same topic and 6 nearest of other topics, itself left out after the cut."""
-    n = _nodes(spark, d)
-    topics = n.select("node_id", F.coalesce(F.col("metadata")["topic"], F.lit("")).alias("topic"))
-    q = query_nodes(n).select(F.col("node_id").alias("query_id"), V.vec("summary_vector").alias("q"))
-    summaries = n.select("node_id", V.vec("summary_vector").alias("v"))
-    own = topics.select(F.col("node_id").alias("query_id"), F.col("topic").alias("wanted"))
-    # of another topic: search with a margin would not be exact, so each topic group is searched by itself
-    pairs = _topic_search(summaries, topics, q, own)
-    same = F.col("topic") == F.col("wanted")
-    w = Window.partitionBy("query_id", same).orderBy(F.desc(F.round("score", 9)), "node_id")
-    ranked_rows = pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= F.when(same, 4).otherwise(6)).filter("query_id <> node_id")
-    reason = F.when(same, "nearest_target_topic_candidate").otherwise("lexical_hard_negative_candidate")
-    return ranked_rows.select("query_id", "node_id", reason.alias("reason"), F.col("place").cast("bigint").alias("place"))
-
-
-def _topic_search(nodes: DataFrame, topics: DataFrame, queries: DataFrame, own: DataFrame) -> DataFrame:
-    """The best 4 in a query's own topic and the best 6 outside, from block-wise top-6 of each topic and task."""
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pyarrow as pa
-
-    rows = queries.join(own, "query_id").select("query_id", "wanted", "q").toLocalIterator()
-    asked = [(r["query_id"], r["wanted"], r["q"]) for r in rows]
-    held = nodes.sparkSession.sparkContext.broadcast((np.array([a[0] for a in asked], object), np.array([a[1] for a in asked], object), np.array([a[2] for a in asked], np.float64) if asked else np.zeros((0, 1))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, wanted, q = held.value
-        qn = np.sqrt((q * q).sum(1))
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            own_ids, topic = np.array(b.column("node_id").to_pylist(), object), np.array(b.column("topic").to_pylist(), object)
-            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(own_ids), -1)
-            for s in range(0, len(ids), 500):
-                low = qn[s : s + 500, None] * np.sqrt((x * x).sum(1))[None, :]
-                score = (np.divide(q[s : s + 500] @ x.T, low, out=np.zeros_like(low), where=low > 0) + 1) / 2
-                same = wanted[s : s + 500, None] == topic[None, :]
-                for mask, k in ((same, 4), (~same, 6)):
-                    part = np.where(mask, score, -1.0)
-                    n = min(k, part.shape[1])
-                    cut = np.partition(part, -n, axis=1)[:, -n][:, None]
-                    i, j = np.nonzero((part >= cut) & mask)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[s + i].tolist(), pa.string()), pa.array(own_ids[j].tolist(), pa.string()), pa.array(topic[j].tolist(), pa.string()), pa.array(wanted[s + i].tolist(), pa.string()), pa.array(score[i, j])], ["query_id", "node_id", "topic", "wanted", "score"])
-
-    return nodes.join(topics, "node_id").select("node_id", "topic", "v").mapInArrow(run, "query_id string, node_id string, topic string, wanted string, score double")
+    n = stage(current_nodes(table(spark, d, "node_frame"), ["summary_vector", "metadata"]).select("node_id", "summary_vector", F.coalesce(F.col("metadata")["topic"], F.lit("")).alias("topic")), "topical_nodes")
+    q = query_nodes(n).select(F.col("node_id").alias("query_id"), F.col("summary_vector").alias("q"), "topic")
+    found = I.exact_topk(n, "node_id", "summary_vector", q, 4, group="topic", others=6).filter("query_id <> node_id")
+    reason = F.when(F.col("same"), "nearest_target_topic_candidate").otherwise("lexical_hard_negative_candidate")
+    return found.select("query_id", "node_id", reason.alias("reason"), F.col("rank").cast("bigint").alias("place"))
 
 
 def candidate_union(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of every query node from its own edges, its topic and other topics; the first source names the reason."""
-    n, e = graph(spark, d)
-    q = query_nodes(n).select("node_id")
+    _, e = graph(spark, d)
+    q = query_nodes(current_nodes(table(spark, d, "node_frame"), ["version"])).select("node_id")
     own = e.join(q, F.col("src_id") == F.col("node_id"), "left_semi").select(F.col("src_id").alias("parent_id"), "dst_id", "confidence", F.lit(0).alias("tier"), F.lit("outgoing_seed_edge").alias("reason"))
     near = topic_neighbors(spark, d)
     lexical = F.col("reason") == "lexical_hard_negative_candidate"

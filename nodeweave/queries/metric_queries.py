@@ -64,14 +64,7 @@ def eval_actions(spark: SparkSession, d: str) -> DataFrame:
 
 def eval_target_pairwise(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a case whose targets differ by 0.05 or more, and those the scores order alike."""
-    m = metric_rows(spark, d).filter("oracle is not null")
-    x = m.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("idx", "score", "oracle"))).alias("x"))
-
-    def count(test) -> F.Column:
-        return F.aggregate("x", F.lit(0), lambda a, p: a + F.aggregate("x", F.lit(0), lambda b, q: b + F.when((p["oracle"] - q["oracle"] >= 0.05) & test(p, q), 1).otherwise(0)))
-
-    per = x.select(count(lambda p, q: F.lit(True)).alias("pairs"), count(lambda p, q: p["score"] > q["score"]).alias("alike"))
-    return per.agg(F.sum("pairs").alias("pairs"), F.sum("alike").alias("alike"))
+    return M.target_pairwise(metric_rows(spark, d).withColumn("target", F.col("oracle")))
 
 
 def label_weight(spark: SparkSession, d: str) -> DataFrame:

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from nodeweave.functions import text as X
 from nodeweave.functions import vectors as V
 from nodeweave.operators import metrics as M
-from nodeweave.operators.graph import graph
 from nodeweave.operators.scorers import HeuristicScorer, RelationScorer
-from nodeweave.queries.graph_queries import _attach_rows
+from nodeweave.queries.graph_queries import _attach_rows, _topics
 from nodeweave.queries.graph_sql import BASE
 from nodeweave.queries.graph_sql import _attach_rows as attach_rows_sql
 from nodeweave.queries.sqlx import EPISODES, clamp, cos01
@@ -126,8 +125,7 @@ def attach_relation_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def eval_attach(spark: SparkSession, d: str) -> DataFrame:
     """Ranking metrics of the attach scorer over every node's edges; a neighbour of the same topic is right."""
-    n, _ = graph(spark, d)
-    topics = n.select("node_id", F.coalesce(F.col("metadata")["topic"], F.lit("")).alias("topic"))
+    topics = _topics(spark, d)
     r = HeuristicScorer().attach_column(_attach_rows(spark, d)).join(topics.select(F.col("node_id").alias("src_id"), F.col("topic").alias("a")), "src_id").join(topics.select(F.col("node_id").alias("dst_id"), F.col("topic").alias("b")), "dst_id")
     rows = stage(r.select(F.col("src_id").alias("case_id"), F.col("dst_id").alias("idx"), F.round("attach", 6).alias("score"), (F.col("a") == F.col("b")).cast("int").alias("label"), F.lit("edge").alias("kind")), "attach_rows")
     ap = M.average_precision(rows).select(F.lit("average_precision").alias("metric"), F.col("average_precision").alias("value"))

@@ -45,8 +45,9 @@ def zipped(a: str, b: str, n: int, body: str) -> str:
     return f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL ELSE list_transform(range(1, {n + 1}), lambda i: {body.replace('{x}', f'{a}[i]').replace('{y}', f'{b}[i]')}) END)"
 
 
-def r6(v: str) -> str:
-    return f"list_transform({v}, lambda x: round(x, 6))"
+def r6(v: str, places: int = 6) -> str:
+    """Every member rounded; adding 0.0 leaves no negative zero."""
+    return f"list_transform({v}, lambda x: round(x, {places}) + 0.0)"
 
 
 NODES = """

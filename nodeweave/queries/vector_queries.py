@@ -14,8 +14,8 @@ from nodeweave.session import spread, stage
 from nodeweave.sources.tables import table
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return current_nodes(table(spark, d, "node_frame"))
+def _nodes(spark: SparkSession, d: str, *only: str) -> DataFrame:
+    return current_nodes(table(spark, d, "node_frame"), list(only) or ["summary_vector", "metadata_vector", "full_vector", "traversal_vector"])
 
 
 def _r(c):
@@ -56,18 +56,18 @@ def embed_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metadata_text(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d).select("node_id", X.metadata_text("metadata").alias("metadata_text"))
+    return _nodes(spark, d, "metadata").select("node_id", X.metadata_text("metadata").alias("metadata_text"))
 
 
 def metadata_vector(spark: SparkSession, d: str) -> DataFrame:
     """Embedding of the canonical metadata text of every node with metadata."""
-    n = _nodes(spark, d).filter("metadata is not null")
+    n = _nodes(spark, d, "metadata").filter("metadata is not null")
     return n.select("node_id", V.rounded(X.embed_text(X.metadata_text("metadata"), 32)).alias("embedding"))
 
 
 def effective_text(spark: SparkSession, d: str) -> DataFrame:
     """Effective vector of a node's summary text and metadata text; missing metadata embeds the summary alone."""
-    n = _nodes(spark, d)
+    n = _nodes(spark, d, "summary_payload", "metadata")
     text = F.coalesce(X.metadata_text("metadata"), F.lit(""))
     e = n.select("node_id", X.embed_text("summary_payload", 32).alias("s"), X.embed_text(text, 32).alias("m"))
     return e.select("node_id", V.rounded(V.effective("s", "m", 32)).alias("effective"))
@@ -220,8 +220,8 @@ def oracle_sql() -> dict[str, str]:
         "vec_effective": n(f"{r6('CASE WHEN meta IS NULL THEN summary ELSE ' + unit('z') + ' END')} AS effective", f", x AS (SELECT *, {mixed} AS z FROM nodes)"),
         "vec_traversal": n(f"{r6('CASE WHEN meta IS NULL THEN s ELSE ' + unit('z') + ' END')} AS route", blend16).replace("SELECT *,", "SELECT * EXCLUDE (route),", 1),
         "vec_edge": n(f"{r6(unit('z'))} AS edge", blend16.replace(zipped("s", "q", 16, "{x} + {y}"), zipped("s", "q", 16, "tanh(0.8 * ({y} - {x}) + 0.4 * {x} * {y})"))),
-        "vec_flip": n("list_transform(range(1, len(route) + 1), lambda i: round(CASE WHEN i % 2 = 1 THEN -route[i] ELSE route[i] END, 6)) AS flipped, list_transform(route, lambda x: round(-x, 6)) AS negated"),
-        "vec_round": n("list_transform(route, lambda x: round(x, 3)) AS rounded"),
+        "vec_flip": n("list_transform(range(1, len(route) + 1), lambda i: round(CASE WHEN i % 2 = 1 THEN -route[i] ELSE route[i] END, 6) + 0.0) AS flipped, list_transform(route, lambda x: round(-x, 6) + 0.0) AS negated"),
+        "vec_round": n(f"{r6('route', 3)} AS rounded"),
         "scalars": f"WITH {CANDIDATES} SELECT case_id, idx, [round({clamp('confidence')}, 6), round({clamp('hop / 3.0::DOUBLE')}, 6), 0.0] AS scalars FROM flat",
         "embed_documents": f"WITH src AS (SELECT doc_id AS id, text AS txt FROM documents), {_embed_sql('src', 32)} SELECT s.id AS doc_id, {r6('v')} AS embedding FROM src s LEFT JOIN embedded USING (id)",
         "metadata_text": n(f"CASE WHEN metadata IS NULL THEN NULL ELSE {META_TEXT} END AS metadata_text"),
