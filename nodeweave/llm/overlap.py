@@ -2,15 +2,20 @@
 
 A record is a text of symbols: the words of a query or the members of a list in
 one fixed order (rarest first, so that reordering does not matter), or the sign
-patterns of a vector against fixed random directions. All suffixes of all texts,
-sorted, bring equal spans together; a run of suffixes with a common prefix is an
-interval of the array. Every cross-split pair of every run is compared where the
-run is, however many there are: a run is dealt in blocks over tasks, and a
-record carries what decides cheaply whether a pair can reach the threshold (a
-parity signature for sets, the rounded vector for vectors; neither ever drops a
-pair that reaches it). Only suffixes with the same prefix are ever brought
-together, so the array is held as sorted partitions of its prefixes. What is
-left is verified exactly.
+patterns of a vector against fixed random directions. The suffixes of all texts
+are sorted; suffixes with the same first symbol are one run of the array and lie
+in one sorted partition, next to those they share the longest prefixes with (a
+run of too many suffixes is dealt in a grid of blocks over tasks). Two suffixes
+of different sides with a common prefix are a shared span, taken where it begins:
+if the symbols before it agree as well, it is part of a longer one. Spans of a
+pair are merged, and what they leave possible is verified exactly, which gives
+the share of each record that the other covers.
+
+Neighbours alone would tell which spans of a record stand on the other side, but
+not with which records it shares enough of them; so every cross-split pair of a
+run is looked at, in blocks and by a test of a few instructions that never drops
+a pair which reaches the threshold: what is left behind the span (or the rounded
+vector), then a parity signature of the set.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nodeweave.session import stage
+from nodeweave.session import held, stage
 
 #: A symbol in more than one in so many texts counts as frequent; there are at most FREQUENT times a text's length of them.
 FREQUENT = 4_000
@@ -33,12 +38,17 @@ BLOCK = 20_000
 PAIRS = 250_000
 #: Bits of a set's parity signature.
 BITS = 128
+#: Symbols by which suffixes are sorted and their common prefix is measured.
+SPAN = 4
 #: More than rounding two unit vectors to half precision can change their cosine (2 * 2 ** -11).
 ROUNDED = 0.002
 
 
 def _runs(depth: int, front: float, payload):
-    """Suffixes as (key of the first ``depth`` symbols, held_out, rid, payload of the record); always those that begin at place front * length or before."""
+    """Suffixes as (key of the first ``depth`` symbols, held_out, rid, suffix of SPAN symbols, payload); always those that begin at place front * length or before.
+
+    The payload is (place, symbol before it) and what the record carries.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul = np.uint64(0x9E3779B97F4A7C15)
@@ -50,49 +60,71 @@ def _runs(depth: int, front: float, payload):
             begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
             n = np.repeat(lengths, lengths)
             at = np.arange(len(flat)) - begin
-            key = np.zeros(len(flat), np.uint64)
+            # a suffix shorter than the prefix stands for itself only if the whole text is that short
+            keep = ((n - at >= depth) & (at <= front * n + 1e-6)) | ((at == 0) & (n < depth))
+            row, at, n, place = row[keep], at[keep], n[keep], np.nonzero(keep)[0]
+            symbols = np.zeros((len(place), max(depth, SPAN)), np.uint64)
+            for d in range(symbols.shape[1]):
+                inside = at + d < n
+                symbols[inside, d] = flat[place[inside] + d]
+            key = np.zeros(len(place), np.uint64)
             with np.errstate(over="ignore"):
                 for d in range(depth):
                     inside = at + d < n
-                    nxt = flat[np.minimum(begin + at + d, len(flat) - 1)] if len(flat) else flat
-                    key = np.where(inside, (key ^ nxt) * mul, key)
+                    key = np.where(inside, (key ^ symbols[:, d]) * mul, key)
                     key ^= np.where(inside, key >> np.uint64(31), np.uint64(0))
-            # a suffix shorter than the prefix stands for itself only if the whole text is that short
-            keep = ((n - at >= depth) & (at <= front * n + 1e-6)) | ((at == 0) & (n < depth))
-            columns = [pa.array(key[keep].view(np.int64)), b.column("held_out").take(pa.array(row[keep]))]
+            columns = [pa.array(key.view(np.int64)), b.column("held_out").take(pa.array(row))]
             if payload is None:
                 yield pa.RecordBatch.from_arrays(columns, ["key", "held_out"])
             else:
-                columns += [b.column("rid").take(pa.array(row[keep])), payload(b, flat, lengths, row).take(pa.array(row[keep]))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "held_out", "rid", "payload"])
+                before = np.where(at > 0, flat[np.maximum(place - 1, 0)], np.uint64(0)) if len(flat) else np.zeros(0, np.uint64)
+                own = np.stack([at.astype(np.uint64), before], axis=1).view(np.uint8).reshape(len(at), 16)
+                carried = np.concatenate((own, payload(b, flat, lengths, np.repeat(np.arange(len(lengths)), lengths))[row]), axis=1)
+                columns += [b.column("rid").take(pa.array(row)), _fixed(symbols[:, :SPAN].astype(">u8").view(np.uint8)), _fixed(carried)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "held_out", "rid", "suffix", "payload"])
 
     return run
 
 
+def _words(col: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """Binary values of one width as rows of a matrix."""
+    return np.frombuffer(b"".join(col.to_pylist()), kind).reshape(len(col), -1)
+
+
 def _compare(close):
-    """The (a, b) of all cross-split pairs of each block that ``close`` lets through; rows come sorted by block, train first."""
+    """The (a, b, span) of all cross-split pairs of each block that share a span there and that ``close`` lets through; rows come as the array has them, sorted by block and suffix."""
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         block, rid = _blocks(rows), rows.column("rid").to_numpy()
         held = np.asarray(rows.column("held_out").to_pylist(), bool)
         group = np.concatenate(([0], np.cumsum((block[1:] != block[:-1]).any(1))))
-        first = np.concatenate(([0], np.nonzero(group[1:] != group[:-1])[0] + 1))
-        trains = np.bincount(group, ~held).astype(np.int64)
+        trained = np.nonzero(~held)[0]
+        first = np.searchsorted(group[trained], np.arange(group[-1] + 1))
+        trains = np.bincount(group[trained], minlength=group[-1] + 1)
         asks = np.nonzero(held & (trains[group] > 0))[0]
         if not len(asks):
             return
+        symbols = _words(rows.column("suffix"), ">u8").astype(np.uint64)
+        carried = _words(rows.column("payload"), np.uint8)
+        own = np.ascontiguousarray(carried[:, :16]).view(np.uint64)
+        at, before = own[:, 0].astype(np.int64), own[:, 1]
+        test = close(at, np.ascontiguousarray(carried[:, 16:]))
         count = trains[group[asks]]
         ends = np.cumsum(count)
-        test = close(rows.column("payload"))
         lo = 0
         while lo < len(asks):
             done = ends[lo - 1] if lo else 0
             hi = max(lo + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
             n = count[lo:hi]
             a = np.repeat(asks[lo:hi], n)
-            b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + first[group[a]]
+            b = trained[np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + first[group[a]]]
+            # only where a shared span begins
+            begins = (before[a] != before[b]) | (at[a] == 0) | (at[b] == 0)
+            a, b = a[begins], b[begins]
             ok = test(a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(rid[a[ok]]), pa.array(rid[b[ok]])], ["a", "b"])
+            a, b = a[ok], b[ok]
+            span = np.logical_and.accumulate(symbols[a] == symbols[b], axis=1).sum(1) if len(a) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rid[a]), pa.array(rid[b]), pa.array(span, pa.int32())], ["a", "b", "span"])
             lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,27 +150,27 @@ def _blocks(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
 
 
 def shared_span_pairs(texts: DataFrame, depth: int, payload, close, front: float = 1.0) -> DataFrame:
-    """(a, b): every held-out and training text that share a span of ``depth`` and pass ``close``; texts is (rid, held_out, symbols array<long>, ...).
+    """(a, b, span): every held-out and training text that share a span of ``depth`` and pass ``close``, with the longest of their spans (up to SPAN); texts is (rid, held_out, symbols array<long>, ...).
 
     Only suffixes that begin in the first ``front`` of a text are read (1 reads all). No run
     is left out for its size: one of more than BLOCK suffixes a side is dealt in
     a grid of blocks, each held-out part against each training part.
     """
     sizes = texts.mapInArrow(_runs(depth, front, None), "key long, held_out boolean").groupBy("key").agg(F.count_if("held_out").alias("e"), F.count_if(~F.col("held_out")).alias("t"))
-    # fewer than one for each BLOCK suffixes
-    large = [(r["key"], -(-r["e"] // BLOCK), -(-r["t"] // BLOCK)) for r in sizes.filter((F.col("e") > 0) & (F.col("t") > 0) & (F.greatest("e", "t") > BLOCK)).collect()]
-    rows = texts.mapInArrow(_runs(depth, front, payload), "key long, held_out boolean, rid long, payload binary")
-    if large:
-        grid = texts.sparkSession.createDataFrame(large, "key long, across int, down int")
+    crowded = (F.col("e") > 0) & (F.col("t") > 0) & (F.greatest("e", "t") > BLOCK)
+    grid = stage(sizes.filter(crowded).select("key", F.ceil(F.col("e") / BLOCK).cast("int").alias("across"), F.ceil(F.col("t") / BLOCK).cast("int").alias("down")), "grid")
+    rows = texts.mapInArrow(_runs(depth, front, payload), "key long, held_out boolean, rid long, suffix binary, payload binary")
+    kept = ("held_out", "rid", "suffix", "payload")
+    if not grid.isEmpty():
         one = F.coalesce("across", F.lit(1)), F.coalesce("down", F.lit(1))
-        dealt = rows.join(F.broadcast(grid), "key", "left").withColumn("mine", F.pmod(F.xxhash64("rid"), F.when(F.col("held_out"), one[0]).otherwise(one[1])).cast("int"))
+        dealt = rows.join(held(grid), "key", "left").withColumn("mine", F.pmod(F.xxhash64("rid"), F.when(F.col("held_out"), one[0]).otherwise(one[1])).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("held_out"), one[1]).otherwise(one[0]) - 1)))
         i, j = F.when(F.col("held_out"), F.col("mine")).otherwise(F.col("other")), F.when(F.col("held_out"), F.col("other")).otherwise(F.col("mine"))
-        rows = dealt.select("key", i.alias("i"), j.alias("j"), "held_out", "rid", "payload")
+        rows = dealt.select("key", i.alias("i"), j.alias("j"), *kept)
     else:
-        rows = rows.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "held_out", "rid", "payload")
-    met = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "held_out")
-    return met.mapInArrow(_compare(close), "a long, b long").distinct()
+        rows = rows.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), *kept)
+    array = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "suffix")
+    return array.mapInArrow(_compare(close), "a long, b long, span int").groupBy("a", "b").agg(F.max("span").alias("span"))
 
 
 def rare_first(sets: DataFrame) -> DataFrame:
@@ -180,12 +212,11 @@ def _sided(df: DataFrame, id_col: str, split_col: str) -> DataFrame:
     return df.withColumn("id", F.col(id_col)).withColumn("held_out", side).filter("id is not null and held_out is not null")
 
 
-def _parity(b: pa.RecordBatch, flat: np.ndarray, lengths: np.ndarray, row: np.ndarray) -> pa.Array:
+def _parity(b: pa.RecordBatch, flat: np.ndarray, lengths: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Size and parity signature of each set: a member turns one bit over, so two sets differ in at least as many members as bits."""
     bit = ((flat * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(57)).astype(np.int64)
     odd = (np.bincount(row * BITS + bit, minlength=len(lengths) * BITS) & 1).astype(np.uint8).reshape(-1, BITS)
-    both = np.concatenate((lengths.astype(np.int64)[:, None].view(np.uint8), np.packbits(odd, axis=1)), axis=1)
-    return _fixed(both)
+    return np.concatenate((lengths.astype(np.int64)[:, None].view(np.uint8), np.packbits(odd, axis=1)), axis=1)
 
 
 def _fixed(x: np.ndarray) -> pa.Array:
@@ -195,13 +226,19 @@ def _fixed(x: np.ndarray) -> pa.Array:
 
 
 def _close_sets(threshold: float):
-    def close(payload: pa.ChunkedArray):
-        words = np.frombuffer(b"".join(payload.to_pylist()), np.uint64).reshape(-1, 1 + BITS // 64)
+    def close(at: np.ndarray, carried: np.ndarray):
+        words = carried.view(np.uint64)
         size, sign = words[:, 0].astype(np.int64), words[:, 1:]
+        left = size - at
 
         def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            both = size[a] + size[b]
+            # of a pair that reaches the threshold this holds where its first shared span begins, as nothing before it is shared
+            ok = np.minimum(left[a], left[b]) * (1 + threshold) >= both * threshold - 1e-6
+            a, b, both = a[ok], b[ok], both[ok]
             apart = np.bitwise_count(sign[a] ^ sign[b]).sum(1, dtype=np.int64)
-            return np.maximum(apart, np.abs(size[a] - size[b])) * (1 + threshold) <= (size[a] + size[b]) * (1 - threshold) + 1e-6
+            ok[ok] = np.maximum(apart, np.abs(size[a] - size[b])) * (1 + threshold) <= both * (1 - threshold) + 1e-6
+            return ok
 
         return test
 
@@ -209,7 +246,7 @@ def _close_sets(threshold: float):
 
 
 def set_overlaps(df: DataFrame, id_col: str, split_col: str, set_col: str, threshold: float, least: int = 1, front: float = 0.0) -> DataFrame:
-    """(id_a, id_b, overlap): records of train and of an evaluation split whose sets overlap by at least ``threshold``.
+    """(id_a, id_b, overlap, held_out, covered, span): records of train and of an evaluation split whose sets overlap by at least ``threshold``.
 
     Sets of fewer than ``least`` distinct members, null sets and records whose
     split is null or unknown take no part; equal records of either side all come
@@ -218,6 +255,9 @@ def set_overlaps(df: DataFrame, id_col: str, split_col: str, set_col: str, thres
     read, which is sure: a pair at the threshold lacks at most (1 - threshold) n
     of either text's members in the other, so its first common member stands no
     later in both. ``front`` may ask for more of a text, never for less.
+    ``held_out`` is the evaluation record's id, ``covered`` the share of its members
+    that the training record holds, ``span`` their longest shared span in rarest-first
+    order (up to SPAN).
     """
     sided = _sided(df, id_col, split_col).select("id", "held_out", F.array_distinct(F.transform(F.array_compact(set_col), lambda w: F.xxhash64(w))).alias("members"))
     sided = stage(sided.filter(F.size("members") >= least).withColumn("digest", F.unhex(F.md5(F.concat_ws(",", F.array_sort("members").cast("array<string>"))))), "sided")
@@ -227,10 +267,15 @@ def set_overlaps(df: DataFrame, id_col: str, split_col: str, set_col: str, thres
     sets = texts.select("rid", "digest", "members")
     both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("digest").alias("da"), F.col("members").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("digest").alias("db"), F.col("members").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    kept = both.withColumn("overlap", common / (F.size("x") + F.size("y") - common)).filter(F.col("overlap") >= threshold).select("da", "db", "overlap")
+    kept = both.withColumn("overlap", common / (F.size("x") + F.size("y") - common)).filter(F.col("overlap") >= threshold)
+    return _named(kept.select("da", "db", "overlap", (common / F.size("x")).alias("covered"), "span"), sided)
+
+
+def _named(kept: DataFrame, sided: DataFrame) -> DataFrame:
+    """Pairs of texts (da held out, db training, by digest) as pairs of records."""
     held = sided.filter("held_out").select(F.col("digest").alias("da"), F.col("id").alias("e"))
     seen = sided.filter("not held_out").select(F.col("digest").alias("db"), F.col("id").alias("t"))
-    return kept.join(held, "da").join(seen, "db").select(F.least("e", "t").alias("id_a"), F.greatest("e", "t").alias("id_b"), "overlap")
+    return kept.join(held, "da").join(seen, "db").select(F.least("e", "t").alias("id_a"), F.greatest("e", "t").alias("id_b"), "overlap", F.col("e").alias("held_out"), "covered", "span")
 
 
 def _sign_texts(dims: int, symbols: int, bits: int):
@@ -249,20 +294,20 @@ def _sign_texts(dims: int, symbols: int, bits: int):
     return run
 
 
-def _unit(b: pa.RecordBatch, flat: np.ndarray, lengths: np.ndarray, row: np.ndarray) -> pa.Array:
-    return b.column("unit")
+def _unit(b: pa.RecordBatch, flat: np.ndarray, lengths: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return _words(b.column("unit"), np.uint8)
 
 
 def _close_vectors(dims: int, min_cos: float):
-    def close(payload: pa.ChunkedArray):
-        x = np.frombuffer(b"".join(payload.to_pylist()), np.float16).reshape(-1, dims).astype(np.float32)
+    def close(at: np.ndarray, carried: np.ndarray):
+        x = carried.view(np.float16).astype(np.float32)
         return lambda a, b: np.einsum("ij,ij->i", x[a], x[b]) >= min_cos - ROUNDED
 
     return close
 
 
 def vector_overlaps(df: DataFrame, id_col: str, split_col: str, vector_col: str, dims: int, min_cos: float, symbols: int = 24, bits: int = 10) -> DataFrame:
-    """(id_a, id_b, overlap): records of train and of an evaluation split whose vectors have at least ``min_cos``.
+    """(id_a, id_b, overlap, held_out, covered, span): records of train and of an evaluation split whose vectors have at least ``min_cos`` (``overlap``, a vector covers another by its cosine).
 
     A vector's text is ``symbols`` symbols of ``bits`` signs each; vectors this close
     share two neighbouring symbols all but surely (at 0.995 a symbol agrees in
@@ -281,7 +326,5 @@ def vector_overlaps(df: DataFrame, id_col: str, split_col: str, vector_col: str,
     def dot(x: str, y: str) -> F.Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
 
-    kept = both.withColumn("overlap", dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y"))).filter(F.col("overlap") >= min_cos).select("da", "db", "overlap")
-    held = sided.filter("held_out").select(F.col("digest").alias("da"), F.col("id").alias("e"))
-    seen = sided.filter("not held_out").select(F.col("digest").alias("db"), F.col("id").alias("t"))
-    return kept.join(held, "da").join(seen, "db").select(F.least("e", "t").alias("id_a"), F.greatest("e", "t").alias("id_b"), "overlap")
+    kept = both.withColumn("overlap", dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y"))).filter(F.col("overlap") >= min_cos)
+    return _named(kept.select("da", "db", "overlap", F.col("overlap").alias("covered"), "span"), sided)

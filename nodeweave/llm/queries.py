@@ -126,9 +126,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
-    """By kind, evaluation split and source: evaluation records, and how many also stand in train."""
-    pairs = stage(_p5_pairs(spark, d).select("kind", "id_a", "id_b"), "pairs")
-    hit = pairs.select("kind", F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    """By kind, evaluation split and source: evaluation records, how many also stand in train, and how much of these one training record covers on average."""
+    pairs = stage(_p5_pairs(spark, d).select("kind", F.col("held_out").alias("id"), "covered"), "pairs")
+    hit = pairs.groupBy("kind", "id").agg(F.max("covered").alias("covered"))
     name = F.lower(F.trim("split"))
     split = F.when(name.isin("validation", "val"), "validation").when(name == "test", "test")
     records = None
@@ -137,7 +137,8 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
         for kind in kinds:
             part = own.withColumn("kind", F.lit(kind))
             records = part if records is None else records.unionByName(part)
-    return records.join(hit.withColumn("hit", F.lit(1)), ["kind", "id"], "left").groupBy("kind", "split", "source").agg(F.count("*").alias("records"), F.coalesce(F.sum("hit"), F.lit(0)).alias("overlapping"))
+    counted = records.join(hit, ["kind", "id"], "left").groupBy("kind", "split", "source")
+    return counted.agg(F.count("*").alias("records"), F.count("covered").alias("overlapping"), F.round(F.coalesce(F.avg("covered"), F.lit(0.0)), 6).alias("covered"))
 
 
 def _p6_packed(spark: SparkSession, d: str) -> DataFrame:
