@@ -11,9 +11,11 @@
   approximate similarity of every member by M look-ups (asymmetric distance);
   the best are reranked with the exact vectors.
 
-Vectors equal after normalising are one entry of the index. Rows meet by cell,
-the members of a cell first and then its queries, which stream past them; the
-queries of a crowded cell are dealt over several tasks.
+Vectors equal after normalising are one entry of the index. Rows meet by part: some
+lists of one cell with at most about PART_ROWS members, or a share of a list that
+holds more. The members of a part come first and then its queries, which stream
+past them; the queries of a crowded part are dealt over several tasks. So what a
+task holds and reads does not grow with the table.
 """
 
 from __future__ import annotations
@@ -26,20 +28,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nodeweave.session import stage
+from nodeweave.session import held, stage
 
-#: Rows of the training sample, at most.
+#: Rows of the training sample, at most. Lists can't be more than these, so beyond SAMPLE * LIST_ROWS rows (10 million) lists grow with the table.
 SAMPLE = 40_000
 LIST_ROWS = 250
-#: Queries of one cell handled by one task, about.
+#: Members and queries of one part handled by one task, about.
+PART_ROWS = 60_000
 TASK_QUERIES = 60_000
+#: Rows of the sample that are routed as queries to foresee how crowded each part gets.
+ROUTED_ROWS = 4_000
 CODES = 256
 #: Dimensions of a subspace, at least.
 PART_DIMS = 4
 #: Share of the sample whose quantising error the cut of approximate similarities allows for.
 ERROR_SHARE = 0.9995
-#: Copies of vectors are left out by broadcast up to so many, by a shuffled join beyond.
-BROADCAST_ROWS = 200_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -96,6 +99,22 @@ class Quantiser:
         codes = self.encode(x, of)
         decoded = self.lists[of] + np.concatenate([self.books[m][codes[:, m]] for m in range(self.parts)], axis=1)
         self.slack = float(np.quantile(1.0 - (x * decoded).sum(1), ERROR_SHARE)) + 0.02
+        self._deal(np.bincount(of, minlength=len(self.lists)) / len(x) * rows)
+
+    def _deal(self, rows: np.ndarray) -> None:
+        """Lists to parts, by the rows foreseen in each: neighbours of one cell together up to PART_ROWS, a larger list in shares."""
+        self.first_part, self.shares = np.zeros(len(self.lists), np.int32), np.ones(len(self.lists), np.int32)
+        part, room, cell = -1, 0.0, -1
+        for i, n in enumerate(rows):
+            if n > PART_ROWS:
+                self.first_part[i], self.shares[i] = part + 1, int(np.ceil(n / PART_ROWS))
+                part, room = part + int(self.shares[i]), 0.0
+                continue
+            if n > room or self.cell_of[i] != cell:
+                part, room, cell = part + 1, float(PART_ROWS), self.cell_of[i]
+            self.first_part[i] = part
+            room -= n
+        self.part_count = part + 1
 
     @classmethod
     def of(cls, parts: dict) -> Quantiser:
@@ -103,6 +122,21 @@ class Quantiser:
         made.__dict__.update(parts)
         return made
 
+    def within(self, c: int) -> np.ndarray:
+        """Distances between the lists of a cell."""
+        kept = self.__dict__.setdefault("_within", {})
+        if c not in kept:
+            own = self.lists[self.first[c] : self.first[c + 1]]
+            kept[c] = np.sqrt(np.maximum(0.0, 2 - 2 * (own @ own.T)))
+        return kept[c]
+
+    def asked(self, q: np.ndarray, q_at: np.ndarray, l_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, part, list) for every part that holds members of a list to read."""
+        n = self.shares[l_at]
+        at = np.repeat(np.arange(len(l_at)), n)
+        share = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        return q_at[at], self.first_part[l_at[at]] + share, l_at[at]
+
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The list of each vector: the nearest among the lists of its nearest cell."""
         out = np.zeros(len(x), np.int32)
@@ -128,9 +162,8 @@ class Quantiser:
         to_cell = q @ self.cells.T
         best = to_cell.max(1, keepdims=True)
         own = to_cell.argmax(1)
-        gap = np.linalg.norm(self.cells[:, None, :] - self.cells[None, :, :], axis=2) if len(self.cells) <= 512 else None
-        far = delta * (gap[own] if gap is not None else 2.0)
-        ok = best - to_cell <= far + 1e-6
+        gap = np.sqrt(np.maximum(0.0, 2 - 2 * (self.cells[own] @ self.cells.T)))
+        ok = best - to_cell <= delta * gap + 1e-6
         if cells < len(self.cells):
             cut = np.partition(to_cell, -cells, axis=1)[:, -cells][:, None]
             ok &= to_cell >= cut
@@ -143,8 +176,7 @@ class Quantiser:
             s = q[at] @ self.lists[a:b].T
             top = s.max(1, keepdims=True)
             lead = s.argmax(1)
-            inner = np.linalg.norm(self.lists[a:b][:, None, :] - self.lists[a:b][None, :, :], axis=2)
-            hit = top - s <= delta * inner[lead] + 1e-6
+            hit = top - s <= delta * self.within(c)[lead] + 1e-6
             if probes < b - a:
                 hit &= s >= np.partition(s, -probes, axis=1)[:, -probes][:, None]
             i, j = np.nonzero(hit)
@@ -185,12 +217,13 @@ def _normalise(dims: int):
     return run
 
 
-ROUTED = "cell int, salt int, is_query boolean, rid long, vector binary, lists binary, codes binary"
+ROUTED = "part int, salt int, is_query boolean, rid long, vector binary, lists binary, codes binary"
 
 
-def _route(quantiser, dims: int, min_cos: float, probes: int, cells: int, salts: dict[int, int]):
+def _route(quantiser, dims: int, min_cos: float, probes: int, cells: int, salts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = Quantiser.of(quantiser.value)
+        names = ["part", "salt", "is_query", "rid", "vector", "lists", "codes"]
         for b in batches:
             if not b.num_rows:
                 continue
@@ -198,34 +231,33 @@ def _route(quantiser, dims: int, min_cos: float, probes: int, cells: int, salts:
             rid = b.column("rid").to_numpy(zero_copy_only=False)
             of = q.assign(x)
             codes = q.encode(x, of)
-            cell = q.cell_of[of]
-            # members: a copy for each salt of the cell
-            copies = np.array([salts.get(int(c), 1) for c in cell])
+            part = q.first_part[of] + (rid % q.shares[of]).astype(np.int32)
+            # members: a copy for each salt of the part
+            copies = salts[part]
             at = np.repeat(np.arange(len(x)), copies)
-            salt = np.concatenate([np.arange(n) for n in copies]).astype(np.int32)
+            salt = (np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell[at]), pa.array(salt), pa.array(np.zeros(len(at), bool)), pa.array(rid[at]), _bytes(x[at]), _bytes(of[at][:, None].astype(np.int32)), _bytes(codes[at])],
-                ["cell", "salt", "is_query", "rid", "vector", "lists", "codes"],
+                [pa.array(part[at], pa.int32()), pa.array(salt), pa.array(np.zeros(len(at), bool)), pa.array(rid[at]), _bytes(x[at]), _bytes(of[at][:, None].astype(np.int32)), _bytes(codes[at])], names
             )
-            qa, la = q.reach(x, min_cos, probes, cells)
-            key = qa.astype(np.int64) * len(q.cells) + q.cell_of[la]
+            qa, pt, la = q.asked(x, *q.reach(x, min_cos, probes, cells))
+            key = qa.astype(np.int64) * q.part_count + pt
             order = np.argsort(key, kind="stable")
             key, la = key[order], la[order].astype(np.int32)
             starts = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
             ends = np.concatenate((starts[1:], [len(key)]))
-            who, where = key[starts] // len(q.cells), (key[starts] % len(q.cells)).astype(np.int32)
-            width = np.array([salts.get(int(c), 1) for c in where])
+            who, where = key[starts] // q.part_count, (key[starts] % q.part_count).astype(np.int32)
+            salt = (rid[who] % salts[where]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(where), pa.array((rid[who] % width).astype(np.int32)), pa.array(np.ones(len(who), bool)), pa.array(rid[who]), _bytes(x[who]),
+                [pa.array(where), pa.array(salt), pa.array(np.ones(len(who), bool)), pa.array(rid[who]), _bytes(x[who]),
                  pa.array([la[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary()), pa.array([b""] * len(who), pa.binary())],
-                ["cell", "salt", "is_query", "rid", "vector", "lists", "codes"],
+                names,
             )
 
     return run
 
 
-class _Cell:
-    """The members of one cell, ordered by list."""
+class _Part:
+    """The members of one part, ordered by list."""
 
     def __init__(self, q: Quantiser, dims: int, rows: list[pa.RecordBatch]):
         self.rid = np.concatenate([r.column("rid").to_numpy(zero_copy_only=False) for r in rows])
@@ -238,7 +270,7 @@ class _Cell:
         self.ends = np.append(self.starts[1:], len(of))
 
     def search(self, q: Quantiser, qx: np.ndarray, qid: np.ndarray, q_at: np.ndarray, l_at: np.ndarray, k: int, rerank: int, min_cos: float):
-        """(query rid, member rid, cosine) of all members with ``min_cos``; without one, of the best ``k`` others of each query in the cell (and those level with the last)."""
+        """(query rid, member rid, cosine) of all members with ``min_cos``; without one, of the best ``k`` others of each query in the part (and those level with the last)."""
         w = qx.shape[1] // q.parts
         out = []
         order = np.argsort(l_at, kind="stable")
@@ -304,27 +336,27 @@ def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> lis
 def _search(quantiser, dims: int, k: int, rerank: int, min_cos: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = Quantiser.of(quantiser.value)
-        key, members, cell = None, [], None
+        key, members, part = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cells = batch.column("cell").to_numpy(zero_copy_only=False).astype(np.int64) * 100_000 + batch.column("salt").to_numpy(zero_copy_only=False)
+            parts = batch.column("part").to_numpy(zero_copy_only=False).astype(np.int64) * (1 << 24) + batch.column("salt").to_numpy(zero_copy_only=False)
             kinds = batch.column("is_query").to_numpy(zero_copy_only=False)
-            cuts = np.nonzero((cells[1:] != cells[:-1]) | (kinds[1:] != kinds[:-1]))[0] + 1
-            for s, e in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(cells)]))):
-                part = batch.slice(int(s), int(e - s))
-                if cells[s] != key:
-                    key, members, cell = cells[s], [], None
+            cuts = np.nonzero((parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1]))[0] + 1
+            for s, e in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(parts)]))):
+                rows = batch.slice(int(s), int(e - s))
+                if parts[s] != key:
+                    key, members, part = parts[s], [], None
                 if not kinds[s]:
-                    members.append(part)
+                    members.append(rows)
                     continue
                 if not members:
                     continue
-                cell = cell or _Cell(q, dims, members)
-                lists = part.column("lists").to_pylist()
+                part = part or _Part(q, dims, members)
+                lists = rows.column("lists").to_pylist()
                 l_at = np.frombuffer(b"".join(lists), np.int32)
                 q_at = np.repeat(np.arange(len(lists)), [len(x) // 4 for x in lists])
-                found = cell.search(q, _matrix(part.column("vector"), dims), part.column("rid").to_numpy(zero_copy_only=False), q_at, l_at, k, rerank, min_cos)
+                found = part.search(q, _matrix(rows.column("vector"), dims), rows.column("rid").to_numpy(zero_copy_only=False), q_at, l_at, k, rerank, min_cos)
                 if found:
                     a, b, c = (np.concatenate(x) for x in zip(*found))
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["q", "m", "cos"])
@@ -342,7 +374,7 @@ def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, dims: int, k: i
     Approximate: a neighbour is missed if its list is not among the ``probes``
     nearest of the ``cells`` nearest cells, or its approximate similarity falls
     short by more than quantising costs (ERROR_SHARE of) the sample; without a
-    ``min_cos`` at least the ``rerank`` best of each cell are reranked instead.
+    ``min_cos`` at least the ``rerank`` best of each part are reranked instead.
     """
     spark = df.sparkSession
     good = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).filter(
@@ -355,7 +387,7 @@ def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, dims: int, k: i
     copied = flat.groupBy(digest.alias("digest")).agg(F.min("rid").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("digest", "lead")
     copies = stage(flat.select("rid", "id", digest.alias("digest")).join(copied, "digest").select("rid", "id", "lead"), "copies")
     extra = copies.filter("rid <> lead").select("rid")
-    entries = flat.join(F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra, "rid", "left_anti")
+    entries = flat.join(held(extra), "rid", "left_anti")
     total = flat.count()
     if total == 0:
         return flat.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).limit(0)
@@ -364,11 +396,13 @@ def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, dims: int, k: i
     drawn = [bytes(r[0]) for r in drawn.collect()] or [bytes(r[0]) for r in entries.select("vector").limit(SAMPLE).collect()]
     sample = np.frombuffer(b"".join(drawn), np.float32).reshape(-1, dims)
     trained = Quantiser(sample, total)
-    crowd = np.bincount(trained.cell_of[trained.assign(sample)], minlength=len(trained.cells))
-    salts = {c: int(min(64, np.ceil(n / len(sample) * total * min(cells, 3) / TASK_QUERIES))) for c, n in enumerate(crowd) if n}
-    quantiser = spark.sparkContext.broadcast(vars(trained))
-    routed = entries.select("rid", "vector").mapInArrow(_route(quantiser, dims, min_cos, probes, cells, {c: n for c, n in salts.items() if n > 1}), ROUTED)
-    met = routed.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "is_query")
+    some = _unit(sample[:ROUTED_ROWS])
+    who, where, _ = trained.asked(some, *trained.reach(some, min_cos, probes, cells))
+    calls = np.bincount(np.unique(np.stack([who, where]), axis=1)[1], minlength=trained.part_count) / len(some) * total
+    salts = np.maximum(1, np.ceil(calls / TASK_QUERIES)).astype(np.int64)
+    quantiser = spark.sparkContext.broadcast({k: v for k, v in vars(trained).items() if k != "_within"})
+    routed = entries.select("rid", "vector").mapInArrow(_route(quantiser, dims, min_cos, probes, cells, salts), ROUTED)
+    met = routed.repartition("part", "salt").sortWithinPartitions("part", "salt", "is_query")
     near = met.mapInArrow(_search(quantiser, dims, k, rerank, min_cos), "q long, m long, cos double")
     if min_cos > -1:
         near = near.filter("q <> m").groupBy("q", "m").agg(F.max("cos").alias("cosine"))
