@@ -11,11 +11,11 @@ of the corpus shares is ranked by many tasks.
 from __future__ import annotations
 
 import base64
+import os
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +37,9 @@ def _count_tokens(path: str):
     def encoder():
         if "enc" not in held:
             import tiktoken
+            from pyspark import SparkFiles
 
-            with open(path, "rb") as f:
+            with open(SparkFiles.get(path), "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
             held["enc"] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         return held["enc"]
@@ -53,15 +54,20 @@ def _count_tokens(path: str):
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id, tokens) of whole texts under a public tokenizer; null and empty texts have 0."""
+    """(id, tokens) of whole texts under a public tokenizer; null and empty texts have 0.
+
+    ``tokenizer`` is a vocabulary file that the driver can read; it is sent to the executors.
+    """
+    df.sparkSession.sparkContext.addFile(tokenizer)
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return spread(picked).mapInArrow(_count_tokens(tokenizer), T.StructType([picked.schema["id"], T.StructField("tokens", T.LongType())]))
+    return spread(picked).mapInArrow(_count_tokens(os.path.basename(tokenizer)), T.StructType([picked.schema["id"], T.StructField("tokens", T.LongType())]))
 
 
-def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
-    """Best fit, longest first, over counts: (length, first rank, first container, items a container) by length and rank.
+def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Best fit, longest first, over counts: (length, first rank, first container, items a container, filled before) by length and rank.
 
-    Item r of a length goes to the container first + (r - first rank) // items of the last row at or before r.
+    Item r of a length goes to the container first + (r - first rank) // items of the last row at or before r,
+    behind what filled it before and (r - first rank) % items others of its length.
     """
     space: dict[int, list[tuple[int, int]]] = defaultdict(list)  # free space -> ranges (first container, how many)
     open_spaces = np.zeros(capacity + 1, bool)
@@ -83,12 +89,12 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[int,
                 each = free // length
                 used = min(n, left // each)
                 if used:
-                    plan.append((length, rank, first, each))
+                    plan.append((length, rank, first, each, capacity - free))
                     rank, left = rank + used * each, left - used * each
                     give(free - each * length, first, used)
                 if used < n:
                     if left and left < each:
-                        plan.append((length, rank, first + used, left))
+                        plan.append((length, rank, first + used, left, capacity - free))
                         give(free - left * length, first + used, 1)
                         rank, left, used = rank + left, 0, used + 1
                     give(free, first + used, n - used)
@@ -96,19 +102,22 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[int,
                 each = capacity // length
                 whole = left // each
                 if whole:
-                    plan.append((length, rank, made, each))
+                    plan.append((length, rank, made, each, 0))
                     rank, left = rank + whole * each, left - whole * each
                     give(capacity - each * length, made, whole)
                     made += whole
                 if left:
-                    plan.append((length, rank, made, left))
+                    plan.append((length, rank, made, left, 0))
                     give(capacity - left * length, made, 1)
                     made, left = made + 1, 0
     return sorted(plan)
 
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(id, piece, tokens, container) for sizes (id, tokens).
+    """(id, piece, first, tokens, container, place) for sizes (id, tokens).
+
+    A piece is the item's tokens from ``first`` on and stands in its container from
+    token ``place`` on, so containers can be written from the texts and the result.
 
     Only an item longer than ``capacity`` is cut: whole containers' worth first,
     then the rest (pieces count from 0). An item of no tokens needs no room: its
@@ -131,14 +140,18 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = pieces.withColumn("r", F.row_number().over(local)).join(F.broadcast(offsets) if buckets <= 8 else offsets, ["length", "bucket"]).withColumn("rank", F.col("offset") + F.col("r") - 1)
 
     most = max(histogram.values(), default=0) + 1
-    keys = np.array([length * most + rank for length, rank, _, _ in plan], np.int64)
-    starts, firsts, each = (np.array([row[i] for row in plan], np.int64) for i in (1, 2, 3))
-
-    @F.pandas_udf("long")
-    def container(length: pd.Series, rank: pd.Series) -> pd.Series:
-        at = np.searchsorted(keys, length.to_numpy(np.int64) * most + rank.to_numpy(np.int64), side="right") - 1
-        return pd.Series(firsts[at] + (rank.to_numpy(np.int64) - starts[at]) // each[at])
-
-    placed = ranked.select("id", F.col("piece").cast("int").alias("piece"), F.col("length").alias("tokens"), container(F.col("length").cast("long"), F.col("rank").cast("long")).alias("container"))
-    nothing = items.filter("tokens = 0").select("id", F.lit(0).alias("piece"), F.lit(0).alias("tokens"), F.lit(None).cast("long").alias("container"))
+    keys = np.array([length * most + rank for length, rank, *_ in plan], np.int64)
+    starts, firsts, each, before_it = (np.array([row[i] for row in plan], np.int64) for i in (1, 2, 3, 4))
+
+    @F.arrow_udf("struct<container: long, place: long>")
+    def slot(length: pa.Array, rank: pa.Array) -> pa.Array:
+        length, rank = length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(keys, length * most + rank, side="right") - 1
+        whole, behind = np.divmod(rank - starts[at], each[at])
+        return pa.StructArray.from_arrays([pa.array(firsts[at] + whole), pa.array(before_it[at] + behind * length)], ["container", "place"])
+
+    placed = ranked.withColumn("slot", slot(F.col("length").cast("long"), F.col("rank").cast("long")))
+    placed = placed.select("id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).cast("long").alias("first"), F.col("length").alias("tokens"), "slot.container", F.col("slot.place").cast("int").alias("place"))
+    none = F.lit(None)
+    nothing = items.filter("tokens = 0").select("id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first"), F.lit(0).alias("tokens"), none.cast("long").alias("container"), none.cast("int").alias("place"))
     return placed.unionByName(nothing)
