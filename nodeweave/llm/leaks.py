@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ LEAST = 15
 PER_EDIT = 6
 #: A sentence that stands in more items than this belongs to none.
 COMMON = 10
-#: Words of all items held by one automaton; more items are scanned in several passes over the same text.
-AUTOMATON_WORDS = 2_000_000
+#: Characters of item words that one automaton is made of and that are sent to a task; more items are scanned for in several passes over the corpus.
+ITEM_CHARACTERS = 16_000_000
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans({
@@ -40,8 +41,10 @@ LOOKALIKES = str.maketrans({
 INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e007f]")
 INLINE_TAG = re.compile(r"(?i)</?(?:b|i|u|em|strong|span|a|font|mark|small|sub|sup|tt|wbr)(?:\s[^<>]{0,300})?/?>")
 ANY_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
-ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
+ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?")
 HYPHEN_BREAK = re.compile("(?<=\\w)[-\u2010\u2011][ \\t]*\\r?\\n[ \\t]*(?=[a-z])")
+#: What is no text of its own: a break within a word or markup within a word (nothing stands for it), other markup (a space), and written-out characters.
+MARK = re.compile(f"(?P<gone>{HYPHEN_BREAK.pattern}|(?i:{INLINE_TAG.pattern[4:]}))|(?P<gap>{ANY_TAG.pattern})|(?P<sign>{ENTITY.pattern})")
 WORD = re.compile("[a-z0-9]+")
 
 
@@ -62,47 +65,49 @@ class _Folding(dict):
 FOLDING = _Folding()
 
 
-def plain_words(text: str) -> list[str]:
-    """The words of a text, whatever its letter case, markup, line layout and way of writing characters."""
-    return WORD.findall(_plain(text))
+def _pieces(text: str) -> list[tuple[int, int, str]] | None:
+    """(start, end, what it says) of a text's pieces in order, marks apart from the text between them; None if there are no marks."""
+    marked = "<" in text or "&" in text
+    if not marked and ("\n" not in text or not HYPHEN_BREAK.search(text)):
+        return None
+    out, done = [], 0
+    for m in (MARK if marked else HYPHEN_BREAK).finditer(text):
+        kind = m.lastgroup if marked else "gone"
+        says = "" if kind == "gone" else " " if kind == "gap" else html.unescape(m[0])
+        if says == m[0]:
+            continue
+        if m.start() > done:
+            out.append((done, m.start(), text[done : m.start()]))
+        out.append((m.start(), m.end(), says))
+        done = m.end()
+    if not out:
+        return None
+    if done < len(text):
+        out.append((done, len(text), text[done:]))
+    return out
 
 
-def _plain(text: str) -> str:
-    if "\n" in text:
-        text = HYPHEN_BREAK.sub("", text)
-    if "<" in text:
-        text = ANY_TAG.sub(" ", INLINE_TAG.sub("", text))
-    if "&" in text:
-        text = html.unescape(text)
+def _folded(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(FOLDING)
 
 
+def plain_words(text: str) -> list[str]:
+    """The words of a text, whatever its letter case, markup, line layout and way of writing characters."""
+    pieces = _pieces(text)
+    return WORD.findall(_folded(text if pieces is None else "".join([p[2] for p in pieces])))
+
+
 def words_with_offsets(text: str) -> list[tuple[str, int, int]]:
-    """(word, start, end) with offsets into the original text; the words are those of plain_words."""
-    drop = np.zeros(len(text) + 1, np.int8)
-    for m in HYPHEN_BREAK.finditer(text):
-        drop[m.start() : m.end()] = 1
-    for rx, kind in ((INLINE_TAG, 1), (ANY_TAG, 2)):
-        for m in rx.finditer(text):
-            if not drop[m.start()]:
-                drop[m.start() : m.end()] = kind
-    put: dict[int, tuple[str, int]] = {}
-    for m in ENTITY.finditer(text):
-        if not drop[m.start()]:
-            put[m.start()] = (html.unescape(m[0]), m.end())
-    chars: list[str] = []
-    at: list[tuple[int, int]] = []
-    i = 0
-    while i < len(text):
-        if i in put:
-            piece, end = put[i]
-        else:
-            piece, end = ("" if drop[i] == 1 else " " if drop[i] == 2 else text[i]), i + 1
-        for c in "".join([FOLDING[ord(x)] for x in piece]):
-            chars.append(c)
-            at.append((i, end))
-        i = end
-    return [(m[0], at[m.start()][0], at[m.end() - 1][1]) for m in WORD.finditer("".join(chars))]
+    """(word, start, end) with offsets into the original text; the words are those of plain_words, made of the same pieces."""
+    pieces = _pieces(text) or [(0, len(text), text)]
+    starts, ends = [], []
+    for start, end, says in pieces:
+        verbatim = end - start == len(says) and text[start:end] == says
+        for i, c in enumerate(says):
+            n = len(_folded(c))
+            starts += [start + i if verbatim else start] * n
+            ends += [start + i + 1 if verbatim else end] * n
+    return [(m[0], starts[m.start()], ends[m.end() - 1]) for m in WORD.finditer("".join([_folded(p[2]) for p in pieces]))]
 
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -179,82 +184,76 @@ def aligned(item: list[str], doc: list[str], least: int, per_edit: int) -> tuple
     return best
 
 
-def _scan(items: list[tuple[int, list[str]]], seed: int, least: int, per_edit: int):
+def _scan(sent, seed: int, least: int, per_edit: int):
+    """A pass over texts; sent is a broadcast list of (item, words)."""
     held: dict = {}
     needed = fewest_seeds(seed, least, per_edit)
 
-    def automata():
+    def automaton():
         if "a" not in held:
             import ahocorasick
 
-            groups, size = [[]], 0
-            for k, words in items:
-                if size > AUTOMATON_WORDS:
-                    groups.append([])
-                    size = 0
-                groups[-1].append((k, words))
-                size += len(words)
-            held["a"] = []
-            for group in groups:
-                stands: dict[str, list[tuple[int, int]]] = defaultdict(list)
-                for k, words in group:
-                    for i in range(len(words) - seed + 1):
-                        stands[" " + " ".join(words[i : i + seed]) + " "].append((k, i))
-                a = ahocorasick.Automaton()
-                for pattern, where in stands.items():
-                    a.add_word(pattern, where)
-                if stands:
-                    a.make_automaton()
-                    held["a"].append(a)
+            stands: dict[str, list[tuple[int, int]]] = defaultdict(list)
+            for k, words in sent.value:
+                for i in range(len(words) - seed + 1):
+                    stands[" " + " ".join(words[i : i + seed]) + " "].append((k, i))
+            held["of"], held["a"] = dict(sent.value), ahocorasick.Automaton()
+            for pattern, where in stands.items():
+                held["a"].add_word(pattern, where)
+            if stands:
+                held["a"].make_automaton()
         return held["a"]
 
-    of = dict(items)
+    def stretches(item: list[str], words: list[str], pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(item words, first, last word) of the item's stretches in a text, the longest where they overlap."""
+        n = len(item)
+        slack = n // per_edit + 1
+        pairs.sort()
+        # seeds of one stretch lie within the item's length of each other
+        groups: list[list[tuple[int, int]]] = []
+        for at, i in pairs:
+            if groups and at - groups[-1][-1][0] <= n + slack:
+                groups[-1].append((at, i))
+            else:
+                groups.append([(at, i)])
+        got = []
+        for group in groups:
+            if len(group) < needed:
+                continue
+            # a stretch through a seed begins at most i words before it and ends at most n - i after
+            lo = max(0, min(at - i for at, i in group) - slack)
+            hi = min(len(words), max(at + n - i for at, i in group) + slack)
+            for s in range(lo, hi, 3 * (n + slack)):
+                best = aligned(item, words[s : min(hi, s + 4 * (n + slack))], least, per_edit)
+                if best:
+                    got.append((best[0], s + best[1], s + best[2]))
+        kept: list[tuple[int, int, int]] = []
+        for one in sorted(got, key=lambda g: (-g[0], g[1])):
+            if all(one[2] < k[1] or one[1] > k[2] for k in kept):
+                kept.append(one)
+        return sorted(kept, key=lambda g: g[1])
 
     def leaks(text: str) -> list[tuple[int, int, int, int]]:
         words = plain_words(text)
-        if len(words) < seed:
+        a = automaton()
+        if len(words) < seed or not len(a):
             return []
         line = " " + " ".join(words) + " "
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         number: np.ndarray | None = None
-        for a in automata():
-            for end, where in a.iter(line):
-                if number is None:
-                    number = np.cumsum(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-                at = int(number[end]) - 1 - seed
-                for k, i in where:
-                    hits[k].append((at, i))
+        for end, where in a.iter(line):
+            if number is None:
+                number = np.cumsum(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
+            at = int(number[end]) - 1 - seed
+            for k, i in where:
+                hits[k].append((at, i))
         found, offsets = [], None
         for k, pairs in hits.items():
             if len(pairs) < needed:
                 continue
-            item = of[k]
-            n = len(item)
-            slack = n // per_edit + 1
-            pairs.sort()
-            # seeds of one stretch lie within the item's length of each other
-            groups: list[list[tuple[int, int]]] = []
-            for at, i in pairs:
-                if groups and at - groups[-1][-1][0] <= n + slack:
-                    groups[-1].append((at, i))
-                else:
-                    groups.append([(at, i)])
-            best = None
-            for group in groups:
-                if len(group) < needed:
-                    continue
-                # a stretch through a seed begins at most i words before it and ends at most n - i after
-                lo = max(0, min(at - i for at, i in group) - slack)
-                hi = min(len(words), max(at + n - i for at, i in group) + slack)
-                for s in range(lo, hi, 3 * (n + slack)):
-                    got = aligned(item, words[s : min(hi, s + 4 * (n + slack))], least, per_edit)
-                    if got and (best is None or got[0] > best[0]):
-                        best = (got[0], s + got[1], s + got[2])
-            if best:
-                if offsets is None:
-                    offsets = words_with_offsets(text)
-                exact = len(offsets) == len(words)
-                found.append((k, best[0], offsets[min(best[1], len(offsets) - 1)][1] if exact else -1, offsets[min(best[2], len(offsets) - 1)][2] if exact else -1))
+            for n, first, last in stretches(held["of"][k], words, pairs):
+                offsets = offsets or words_with_offsets(text)
+                found.append((k, n, offsets[first][1], offsets[last][2]))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,23 +271,31 @@ def _scan(items: list[tuple[int, list[str]]], seed: int, least: int, per_edit: i
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, per_edit: int = PER_EDIT, common: int = COMMON) -> DataFrame:
-    """(id, item_id, item_words, start, end): every document with the items it holds in part.
+    """(id, item_id, item_words, start, end): every stretch of an item in a document.
 
     A document holds an item if at least ``least`` of the item's words stand in it
     in one stretch and in order, at most one in ``per_edit`` changed, dropped or
     added. start and end are character offsets of the stretch in the original
-    text. The items are a small fixed table and go to every task; their words are
-    counted and refused beyond 50 million. Null and empty texts and items leak
-    nothing, repeated documents each come out, an item of several rows is joined.
+    text; of overlapping stretches of an item the longest is kept. The items are a
+    small fixed table, read to the driver (a million rows at most, else this raises);
+    they go to the tasks in portions of ITEM_CHARACTERS, each a pass over the
+    corpus. Null and empty texts and items leak nothing, repeated documents each come
+    out, an item of several rows is joined.
     """
     texts: dict[int, str] = {}
     for r in items.select(F.col(item_col).alias("k"), F.col(item_text_col).alias("t")).filter("k is not null and t is not null").toLocalIterator():
         texts[r["k"]] = f"{texts[r['k']]} {r['t']}" if r["k"] in texts else r["t"]
         if len(texts) > 1_000_000:
             raise ValueError("more items than one scan can hold")
-    words = sorted((k, w) for k, w in item_words(texts, common).items() if len(w) >= least)
-    if sum(len(w) for _, w in words) > 50_000_000:
-        raise ValueError("more item words than one scan can hold")
+    portions: list[list[tuple[int, list[str]]]] = [[]]
+    size = 0
+    for k, words in sorted((k, w) for k, w in item_words(texts, common).items() if len(w) >= least):
+        if size > ITEM_CHARACTERS:
+            portions.append([])
+            size = 0
+        portions[-1].append((k, words))
+        size += sum(len(w) + 1 for w in words)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([picked.schema["id"], *[T.StructField(n, T.LongType()) for n in ("item_id", "item_words", "start", "end")]])
-    return spread(picked).mapInArrow(_scan(words, SEED, least, per_edit), schema)
+    picked, context = spread(picked), docs.sparkSession.sparkContext
+    return reduce(DataFrame.unionByName, [picked.mapInArrow(_scan(context.broadcast(p), SEED, least, per_edit), schema) for p in portions])
