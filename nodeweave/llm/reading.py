@@ -227,7 +227,7 @@ def _covering(ranks: np.ndarray, counts: np.ndarray, share: float) -> int | None
 
 
 def reading_level(df: DataFrame, id_col: str, text_col: str, share: float = SHARE, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, words, sentences, vowel_groups, coverage_rank, score, estimate, level) of every text with enough English prose.
+    """(id, words, sentences, vowel_groups, coverage_rank, score, estimate, level, vocabulary_level) of every text with enough English prose.
 
     ``coverage_rank`` is the size of the smallest frequency-ranked vocabulary that
     covers ``share`` of the document's words (words equally frequent in the corpus
@@ -267,8 +267,17 @@ def reading_level(df: DataFrame, id_col: str, text_col: str, share: float = SHAR
     return calibrate(stage(scored, "scored"))
 
 
+def level_of(score: F.Column) -> F.Column:
+    """The level of a grade score."""
+    return F.when(score < 4, 1).when(score < 11, 2).when(score < 20, 3).otherwise(4)
+
+
 def calibrate(scored: DataFrame) -> DataFrame:
-    """scored with ``estimate`` and ``level``; the calibration is one SQL aggregate over all documents."""
+    """scored with ``estimate``, ``level`` and ``vocabulary_level``; the calibration is one SQL aggregate over all documents.
+
+    ``estimate`` is what vocabulary and sentence length let expect of the score, and
+    ``vocabulary_level`` its level: a text of rare words in short sentences has a higher one than its score says.
+    """
     fit = scored.sparkSession.sql(
         """
         with d as (select score as y, ln(coverage_rank) as v, words / sentences as s from {scored}),
@@ -278,9 +287,15 @@ def calibrate(scored: DataFrame) -> DataFrame:
         """,
         scored=scored,
     ).first()
-    level = F.when(F.col("score") < 4, 1).when(F.col("score") < 11, 2).when(F.col("score") < 20, 3).otherwise(4)
     det = fit["det"] if fit["det"] and abs(fit["det"]) > 1e-12 else None
     bv, bs = (fit["bv"] / det, fit["bs"] / det) if det else (0.0, 0.0)
     mean = [fit[c] or 0.0 for c in ("y", "v", "s")]
     estimate = F.lit(mean[0]) + bv * (F.log("coverage_rank") - mean[1]) + bs * (F.col("words") / F.col("sentences") - mean[2])
-    return scored.select("id", "words", "sentences", "vowel_groups", "coverage_rank", "score", estimate.alias("estimate"), level.alias("level"))
+    return scored.select("id", "words", "sentences", "vowel_groups", "coverage_rank", "score", estimate.alias("estimate"), level_of(F.col("score")).alias("level"), level_of(estimate).alias("vocabulary_level"))
+
+
+def within_levels(levels: DataFrame, least: int, most: int) -> DataFrame:
+    """The documents of reading_level whose score and whose vocabulary both are from level ``least`` to ``most``."""
+    if not 1 <= least <= most <= 4:
+        raise ValueError("levels go from 1 to 4")
+    return levels.filter(F.col("level").between(least, most) & F.col("vocabulary_level").between(least, most))
