@@ -12,7 +12,7 @@ from nodeweave.llm.leaks import leaked_items
 from nodeweave.llm.near_dups import near_duplicate_groups, pairs_of, words_of
 from nodeweave.llm.overlap import set_overlaps, vector_overlaps
 from nodeweave.llm.packing import CAPACITY, pack, token_counts
-from nodeweave.llm.reading import reading_level
+from nodeweave.llm.reading import reading_level, within_levels
 from nodeweave.llm.splits import assign_splits, linked_groups
 from nodeweave.session import stage
 from nodeweave.sources.tables import latest, table
@@ -151,7 +151,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
-    """Every document's pieces with their container."""
+    """Every document's pieces with their container and their places in document and container."""
     return _p6_packed(spark, d).withColumnRenamed("id", "doc_id")
 
 
@@ -167,7 +167,7 @@ def _p7_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the evaluation items they leak."""
-    return _p7_leaks(spark, d).select(F.col("id").alias("doc_id"), "item_id")
+    return _p7_leaks(spark, d).select(F.col("id").alias("doc_id"), "item_id").distinct()
 
 
 def p7_passages(spark: SparkSession, d: str) -> DataFrame:
@@ -195,6 +195,11 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return by.groupBy("domain", "level").agg(F.count("*").alias("documents"), F.round(F.avg("score"), 3).alias("score"), F.round(F.avg("estimate"), 3).alias("estimate"), F.round(F.avg("coverage_rank"), 1).alias("coverage_rank"))
 
 
+def p8_selected(spark: SparkSession, d: str) -> DataFrame:
+    """Documents for middling readers: neither their sentences nor their vocabulary easier than level 2 or harder than level 3."""
+    return within_levels(_p8_levels(spark, d), 2, 3).select("doc_id", "level", "vocabulary_level")
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found, "p1_groups": p1_groups,
@@ -203,7 +208,7 @@ def queries() -> dict:
         "p5_found": p5_found, "p5_counts": p5_counts,
         "p6_found": p6_found, "p6_containers": p6_containers, "p6_fill": p6_fill,
         "p7_found": p7_found, "p7_passages": p7_passages,
-        "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile,
+        "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile, "p8_selected": p8_selected,
     }
 
 

@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeweave.llm.components import components
+from nodeweave.session import stage
 
 #: A group with more than this share of the rows is placed by size; there are at most 1/HEAVY of them.
-HEAVY = 0.005
+HEAVY = 0.001
 
 
 def linked_groups(df: DataFrame, id_col: str, key_cols: list[str]) -> DataFrame:
@@ -55,7 +56,7 @@ def assign_splits(groups: DataFrame, plan: DataFrame, seed: int = 7) -> DataFram
         raise ValueError("the split plan holds no positive share")
     scale = sum(wanted.values())
     wanted = {k: v / scale for k, v in sorted(wanted.items())}
-    own = groups.withColumn("unit", F.coalesce("group", F.concat(F.lit("id "), "id")))
+    own = stage(groups.withColumn("unit", F.coalesce("group", F.concat(F.lit("id "), "id"))), "units")
     sizes = own.groupBy("unit").agg(F.count("*").alias("n"))
     total = own.count()
     missing = {k: v * total for k, v in wanted.items()}
@@ -67,12 +68,15 @@ def assign_splits(groups: DataFrame, plan: DataFrame, seed: int = 7) -> DataFram
     weights = {k: max(v, 0.0) for k, v in missing.items()}
     if not any(weights.values()):
         weights = dict(wanted)
-    draws = F.array_max(F.array(*[
-        F.struct((-F.lit(w) / F.log((F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "unit"), F.lit(2**52)) + 0.5) / float(2**52))).alias("d"), F.lit(k).alias("k"))
-        for k, w in weights.items() if w > 0
-    ]))
+
+    def even(k: str) -> F.Column:
+        """A number in 0..1 by the hash of split and group."""
+        return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|{k}|"), "unit")), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+
+    draws = F.array_max(F.array(*[F.struct((-F.lit(w) / F.log(even(k))).alias("d"), F.lit(k).alias("k")) for k, w in weights.items() if w > 0]))
     by_hash = own.withColumn("by_hash", draws.getField("k"))
     if not placed:
         return by_hash.select("id", "group", F.col("by_hash").alias("split"))
+    # at most 1/HEAVY rows
     heavy = groups.sparkSession.createDataFrame(placed, "unit string, by_size string")
     return by_hash.join(F.broadcast(heavy), "unit", "left").select("id", "group", F.coalesce("by_size", "by_hash").alias("split"))
