@@ -17,15 +17,18 @@ is parsed; other text is split at ``|``, ``;`` or ``,`` (only for paths in
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nodeweave.session import spread
 
+#: A child of a record: its level, its parent's position, its own, its key.
+CHILD = "struct<level: string, parent_pos: int, child_pos: int, child_key: string>"
+
 ROWS = T.StructType([
     T.StructField("record", T.StringType()),
     T.StructField("table", T.StringType()),
@@ -57,6 +60,19 @@ def parse_json(text: str | None) -> object:
         return None
 
 
+def fault_of(text: str | None) -> str:
+    """Why a text gave no record."""
+    if text is None or not text.strip():
+        return "empty"
+    try:
+        json.loads(text)
+    except RecursionError:
+        return "nested too deeply"
+    except ValueError:
+        return "no complete JSON"
+    return "no record in it"
+
+
 def unwrap(value: object, marker: str, wrappers: tuple[str, ...]) -> dict | None:
     """The record within a value: an object with ``marker``, perhaps under one of the wrapper names, perhaps as text."""
     for _ in range(8):
@@ -134,7 +150,7 @@ def _shredder(record_col: str, json_col: str, marker: str, wrappers: tuple[str,
                     record = unwrap(value, marker, wrappers) if marker else (value if isinstance(value, dict) else None)
                     rows: dict[tuple[str, tuple[int, ...]], dict[str, str | None]] = {}
                     if record is None:
-                        rows["(unreadable)", ()] = {"body": text}
+                        rows["(unreadable)", ()] = {"body": text, "reason": fault_of(text)}
                     else:
                         for ancestor, at, field, v in triples(record, repeated, split_text, maps, objects):
                             rows.setdefault((ancestor, at), {})[field] = _scalar(v)
@@ -159,7 +175,7 @@ def shred(df: DataFrame, record_col: str, json_col: str, repeated: list[str], sp
     fields as text. ``maps`` are paths whose keys are data: a row (key, value) each.
     ``objects`` are paths whose object may be delivered as JSON text. A text that
     holds no record (null, empty, cut off, no object, without ``marker`` under any
-    wrapper) gives one row of the table ``(unreadable)``. ``tables`` keeps only
+    wrapper) gives one row of the table ``(unreadable)`` with its reason. ``tables`` keeps only
     those tables. Repeated records are not dropped here. Fields unknown to a
     caller stay in ``cols``.
     """
@@ -169,12 +185,32 @@ def shred(df: DataFrame, record_col: str, json_col: str, repeated: list[str], sp
     )
 
 
-def flat_table(rows: DataFrame, name: str, fields: list[str], parent: str | None = None) -> DataFrame:
-    """The table of one repeated path: record, the parent's positions, its own position, then its fields.
+def child(level: str, parent: Column, pos: Column, key: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), parent.cast("int").alias("parent_pos"), pos.cast("int").alias("child_pos"), key.alias("child_key"))
+
+
+def members_of(level: str, items: Column, key: Callable[[Column], Column]) -> Column:
+    """The children that a typed array holds, as an array; a null member keeps its position and gives none."""
+    return F.transform(items, lambda x, i: F.when(x.isNotNull(), child(level, F.lit(-1), i, key(x))))
+
+
+def inner_members_of(level: str, items: Column, inner: Callable[[Column], Column]) -> Column:
+    """The children that a typed array of texts within each member of an array holds."""
+    return F.flatten(F.transform(items, lambda x, i: F.coalesce(F.transform(inner(x), lambda y, j: F.when(y.isNotNull(), child(level, i, j, y))), F.array().cast(f"array<{CHILD}>"))))
+
+
+def children_of(*parts: Column) -> Column:
+    """All children of a record, without the gaps that null members leave."""
+    none = F.array().cast(f"array<{CHILD}>")
+    return F.array_compact(F.concat(*[F.coalesce(p, none) for p in parts]))
+
+
+def flat_table(rows: DataFrame, name: str, fields: list[tuple[str, str]]) -> DataFrame:
+    """The table of one repeated path: record, the parent's position (-1 at the record), its own, then its fields (name, type).
 
-    ``parent`` is the repeated path above; the link is (record, parent_pos). Null fields stay null.
+    The link to the parent is (record, parent_pos). Null fields stay null, so does a text that is no value of its type.
     """
     own = rows.filter(F.col("table") == name)
     size = F.size("ordinals")
-    keys = [F.col("record"), F.when(size > 1, F.col("ordinals")[size - 2]).otherwise(F.lit(-1)).alias("parent_pos"), F.when(size > 0, F.col("ordinals")[size - 1]).otherwise(F.lit(-1)).alias("pos")]
-    return own.select(*keys, F.lit(parent).alias("parent"), *[F.col("cols")[f].alias(f.replace(".", "_")) for f in fields])
+    keys = [F.col("record"), F.when(size > 1, F.get("ordinals", size - 2)).otherwise(F.lit(-1)).alias("parent_pos"), F.when(size > 0, F.get("ordinals", size - 1)).otherwise(F.lit(-1)).alias("pos")]
+    return own.select(*keys, *[F.col("cols")[f].try_cast(kind).alias(f.replace(".", "_")) for f, kind in fields])
