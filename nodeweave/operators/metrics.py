@@ -90,6 +90,81 @@ def pairwise(rows: DataFrame) -> DataFrame:
     )
 
 
+def by_oracle(rows: DataFrame) -> DataFrame:
+    """(cases, right, mrr) if candidates were ranked by their oracle score: first candidates that are right, and reciprocal rank of the first right one; a missing oracle score counts as 0."""
+    order = in_case().orderBy(F.desc(F.coalesce("oracle", F.lit(0.0))), "idx")
+    r = prepared(rows).withColumn("rank", F.row_number().over(order)).groupBy("case_id").agg(F.min(F.when(F.col("label") == 1, F.col("rank"))).alias("r"))
+    return r.agg(F.count("*").alias("cases"), F.count_if(F.col("r") == 1).alias("right"), F.round(F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def pairwise_by_oracle(rows: DataFrame) -> DataFrame:
+    """By kind of the negative: pairs with a positive of the case that the oracle puts above it, and those the score puts above it too."""
+    m = prepared(rows).withColumn("oracle", F.coalesce("oracle", F.lit(0.0)))
+    width = m.groupBy("case_id").agg(F.ceil(F.count("*") / CASE_ROWS).cast("int").alias("width"))
+    m = m.join(width, "case_id")
+    pos = m.filter("label = 1").select("case_id", F.pmod(F.xxhash64("idx"), F.col("width")).cast("int").alias("salt"), F.col("s").alias("sp"), F.col("oracle").alias("op"))
+    neg = m.filter("label = 0").select("case_id", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("salt"), "kind", "s", "oracle")
+    pairs = neg.join(pos, ["case_id", "salt"]).filter("op > oracle")
+    return pairs.groupBy("kind").agg(F.count("*").alias("pairs"), F.count_if(F.col("sp") > F.col("s")).alias("won"))
+
+
+def actions(rows: DataFrame, positive: float = 0.65) -> DataFrame:
+    """One row for each action that has a target for every candidate: rows has action, case_id, idx, score, target.
+
+    Precision, recall and F1 at 0.5, average precision (equal scores merged), Brier score and
+    calibration error over ten bins, and the scores' means, range and deviation.
+    """
+    m = rows.withColumn("s", F.round(F.coalesce("score", F.lit(0.0)) * MILLION).cast("long")).withColumn("label", (F.col("target") >= positive).cast("int"))
+    whole = m.groupBy("action").agg(F.count_if(F.col("target").isNull()).alias("gaps")).filter("gaps = 0").select("action")
+    # whatever the number of rows, at most a million and one scores an action go on
+    values = m.join(F.broadcast(whole), "action").groupBy("action", "s").agg(F.count("*").alias("n"), F.sum("label").alias("p"), F.sum("target").alias("t"))
+    down = Window.partitionBy("action").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    v = values.withColumn("cn", F.sum("n").over(down)).withColumn("cp", F.sum("p").over(down)).withColumn("x", F.col("s") / MILLION)
+    v = v.withColumn("c", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("x")))).withColumn("bin", F.least(F.lit(9), F.floor(F.greatest(F.lit(0), F.least(F.lit(MILLION), F.col("s"))) / 100_000)))
+    bins = v.groupBy("action", "bin").agg(F.abs(F.sum(F.col("c") * F.col("n")) - F.sum("p")).alias("gap")).groupBy("action").agg(F.sum("gap").alias("gap"))
+    hit = F.col("s") >= MILLION // 2
+    tp, fp = F.sum(F.when(hit, F.col("p")).otherwise(0)), F.sum(F.when(hit, F.col("n") - F.col("p")).otherwise(0))
+    n, p = F.sum("n"), F.sum("p")
+    mean = F.sum(F.col("x") * F.col("n")) / n
+    one = v.groupBy("action").agg(
+        n.alias("candidates"), p.alias("positives"), F.sum("t").alias("t"), tp.alias("tp"), fp.alias("fp"), F.sum(F.col("p") * F.col("cp") / F.col("cn")).alias("ap"),
+        F.sum(F.col("x") * F.col("p")).alias("xp"), F.sum(F.col("x") * (F.col("n") - F.col("p"))).alias("xn"), F.min("x").alias("low"), F.max("x").alias("high"), mean.alias("mean"), (F.sum(F.col("x") * F.col("x") * F.col("n")) / n).alias("square"),
+        (F.sum(F.col("c") * F.col("c") * (F.col("n") - F.col("p")) + (1 - F.col("c")) * (1 - F.col("c")) * F.col("p")) / n).alias("brier"),
+    ).join(bins, "action")
+    c = F.col
+    precision, recall = _ratio(c("tp"), c("tp") + c("fp")), _ratio(c("tp"), c("positives"))
+    made = {
+        "positive_rate": c("positives") / c("candidates"), "average_precision": _ratio(c("ap"), c("positives")), "precision": precision, "recall": recall, "f1": _ratio(2 * precision * recall, precision + recall),
+        "mean_positive": _ratio(c("xp"), c("positives")), "mean_negative": _ratio(c("xn"), c("candidates") - c("positives")), "low": c("low"), "high": c("high"), "deviation": F.sqrt(F.greatest(F.lit(0.0), c("square") - c("mean") * c("mean"))),
+        "brier": c("brier"), "ece": c("gap") / c("candidates"), "mean_target": c("t") / c("candidates"),
+    }
+    return one.select("action", "candidates", "positives", *[F.round(x, 6).alias(k) for k, x in made.items()])
+
+
+def latency(seconds: float, candidates: int, cases: int) -> dict[str, float]:
+    """Milliseconds in all and a case, and candidates a second, of a timed scoring."""
+    return {"ms": seconds * 1000.0, "ms_per_case": seconds * 1000.0 / max(1, cases), "candidates_per_second": candidates / max(seconds, 1e-12)}
+
+
+def hits_at(returned: DataFrame, relevant: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """(method, k, precision, hit_rate, mrr): of ranked lists (method, query_id, node_id, rank) against relevant (query_id, node_id), meaned over all queries of ``relevant``.
+
+    Precision is over k whatever a method returned; a query it returned nothing for counts as 0.
+    """
+    if min(ks) < 1:
+        raise ValueError("ks must be positive")
+    good = returned.join(relevant.select("query_id", "node_id").distinct(), ["query_id", "node_id"]).groupBy("method", "query_id").agg(F.collect_list("rank").alias("ranks"))
+    asked = relevant.select("query_id").distinct().count()
+    each = good.select("method", "query_id", "ranks", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).withColumn("hits", F.size(F.filter("ranks", lambda r: r <= F.col("k"))))
+    per = each.groupBy("method", "k").agg(F.sum("hits").alias("h"), F.count_if(F.col("hits") > 0).alias("some"), F.sum(F.when(F.array_min("ranks") <= F.col("k"), 1.0 / F.array_min("ranks")).otherwise(0.0)).alias("rr"))
+    methods = returned.select("method").distinct().select("method", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    n = F.lit(max(1, asked))
+    none = F.lit(0.0)
+    return methods.join(per, ["method", "k"], "left").select(
+        "method", "k", F.round(F.coalesce(F.col("h") / (F.col("k") * n), none), 6).alias("precision"), F.round(F.coalesce(F.col("some") / n, none), 6).alias("hit_rate"), F.round(F.coalesce(F.col("rr") / n, none), 6).alias("mrr")
+    )
+
+
 def at_threshold(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     hit = F.col("s") >= round(threshold * MILLION)
     c = prepared(rows).agg(F.sum((hit & (F.col("label") == 1)).cast("long")).alias("tp"), F.sum((hit & (F.col("label") == 0)).cast("long")).alias("fp"), F.sum((~hit & (F.col("label") == 1)).cast("long")).alias("fn"))

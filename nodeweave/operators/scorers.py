@@ -8,11 +8,11 @@ are worked out in one Arrow batch (functions/batch.py), the neural ones too (mod
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from nodeweave.functions import batch as B
@@ -101,6 +101,28 @@ class FixedScorer:
         return df.withColumn("attach", F.lit(0.1))
 
 
+@dataclass
+class CountingScorer:
+    """A scorer that also counts: calls, and the candidates its plans scored (once they have run)."""
+
+    inner: Scorer
+    observed: list = field(default_factory=list)
+
+    def _counted(self, df: DataFrame) -> DataFrame:
+        self.observed.append(Observation())
+        return df.observe(self.observed[-1], F.count(F.lit(1)).alias("n"))
+
+    def edge_columns(self, df: DataFrame) -> DataFrame:
+        return self._counted(self.inner.edge_columns(df))
+
+    def attach_column(self, df: DataFrame) -> DataFrame:
+        return self._counted(self.inner.attach_column(df))
+
+    def counts(self) -> dict[str, int]:
+        """Waits for plans that have not run yet."""
+        return {"calls": len(self.observed), "candidates": sum(o.get["n"] for o in self.observed)}
+
+
 def edge_targets(df: DataFrame, edge_dims: int = 16) -> DataFrame:
     """Training targets of raw summaries: query, current_summary, edge, dst_summary, path, confidence, hop."""
 

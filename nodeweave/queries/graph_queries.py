@@ -10,7 +10,7 @@ from nodeweave.functions import vectors as V
 from nodeweave.operators import index as I
 from nodeweave.operators import metrics as M
 from nodeweave.operators.graph import current_nodes, edge_faults, graph, query_nodes, upsert_edges
-from nodeweave.operators.models import MlpScorer, TransformerScorer
+from nodeweave.operators.models import ModelConfig, NeuralScorer
 from nodeweave.operators.scorers import SCORES, HeuristicScorer, RelationScorer, bootstrap_teacher
 from nodeweave.plans.insert import InsertConfig, attach, attached_edges
 from nodeweave.plans.traverse import TraversalConfig, node_side, ranked, traverse
@@ -149,12 +149,25 @@ def score_relation(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(RelationScorer().edge_columns(r), "src_id", "dst_id")
 
 
+#: The models of the queries below; the perceptron is small enough to be written out in SQL.
+MLP = NeuralScorer.seeded(ModelConfig(hidden_dim=6, attach_hidden_dim=5))
+TRANSFORMER = NeuralScorer.seeded(ModelConfig(model_kind="transformer", hidden_dim=64, attach_hidden_dim=64, attach_head_kind="hybrid", traversal_output_dim=5), seed=4)
+
+
 def score_mlp(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(MlpScorer.seeded().edge_columns(_edge_rows(spark, d)), "src_id", "dst_id")
+    return _rounded(MLP.edge_columns(_edge_rows(spark, d)), "src_id", "dst_id")
 
 
 def score_transformer(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(TransformerScorer.seeded().edge_columns(_edge_rows(spark, d)), "src_id", "dst_id")
+    return _rounded(TRANSFORMER.edge_columns(_edge_rows(spark, d)), "src_id", "dst_id")
+
+
+def attach_mlp(spark: SparkSession, d: str) -> DataFrame:
+    return MLP.attach_column(_attach_rows(spark, d)).select("src_id", "dst_id", F.round("attach", 6).alias("attach"))
+
+
+def attach_transformer(spark: SparkSession, d: str) -> DataFrame:
+    return TRANSFORMER.attach_column(_attach_rows(spark, d)).select("src_id", "dst_id", F.round("attach", 6).alias("attach"))
 
 
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
@@ -310,7 +323,7 @@ def quota_topk(spark: SparkSession, d: str, limit: int = 12) -> DataFrame:
 
 def queries() -> dict:
     plain = (
-        node_upsert, edge_upsert, edge_refused, edges_ordered, edge_prune, nearest_summary, exact_topk, lsh_buckets, lsh_replace, lsh_query, lsh_seeds, seed_fill, score_edge, score_relation, score_mlp, score_transformer,
+        node_upsert, edge_upsert, edge_refused, edges_ordered, edge_prune, nearest_summary, exact_topk, lsh_buckets, lsh_replace, lsh_query, lsh_seeds, seed_fill, score_edge, score_relation, score_mlp, score_transformer, attach_mlp, attach_transformer,
         score_attach, score_relation_attach, traverse_included, traverse_rejected, insert_attach, insert_edges, eval_retrieval, compare_methods, indexed_purity, topic_neighbors, candidate_union, quota_topk,
     )
     return {f.__name__: f for f in plain} | {"bootstrap_teacher": bootstrap} | {name: _traverse_query(name) for name in TRAVERSALS}

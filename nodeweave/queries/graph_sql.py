@@ -153,10 +153,33 @@ def insertion(config) -> str:
     attached AS (SELECT query_id AS new_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank, ne, ce FROM sc WHERE score >= {config.threshold} QUALIFY rank <= {config.limit})"""
 
 
+def _array(x) -> str:
+    return "[" + ", ".join(f"{float(v):.17e}" for v in x) + "]::DOUBLE[]"
+
+
+def perceptron(weights: dict, features: str, source: str) -> str:
+    """CTEs up to net: source with ``y``, the outputs of a three-layer perceptron over the feature list ``features``."""
+    def layer(k: int, x: str) -> str:
+        return f"list_transform(range(1, {len(weights[f'l{k}']['b'])} + 1), lambda i: list_dot_product(w{k}[i], {x}) + b{k}[i])"
+
+    t = "(1e0 / (1e0 + 0.3275911e0 * abs(v) / sqrt(2e0)))"
+    erf = f"(1e0 - (((((1.061405429e0 * {t} - 1.453152027e0) * {t}) + 1.421413741e0) * {t} - 0.284496736e0) * {t} + 0.254829592e0) * {t} * exp(-v * v / 2e0))"
+    gelu = f"lambda v: v * 0.5e0 * (1e0 + sign(v) * {erf})"
+    held = ", ".join(f"[{', '.join(_array(r) for r in weights[n]['w'])}] AS w{n[1]}, {_array(weights[n]['b'])} AS b{n[1]}" for n in ("l0", "l1", "l2"))
+    return f"""
+    nn AS (SELECT {held}), f0 AS (SELECT *, {features} AS x FROM {source}),
+    f1 AS (SELECT f0.*, w1, b1, w2, b2, list_transform({layer(0, 'x')}, {gelu}) AS h0 FROM f0, nn),
+    f2 AS (SELECT *, list_transform({layer(1, 'h0')}, {gelu}) AS h1 FROM f1), net AS (SELECT *, list_transform({layer(2, 'h1')}, lambda v: 1e0 / (1e0 + exp(-v))) AS y FROM f2)"""
+
+
+def _compared(pairs: list[tuple[str, str, int]]) -> str:
+    return " || ".join(f"{zipped(a, b, n, body)}" for a, b, n in pairs for body in ("{x} * {y}", "abs({x} - {y})"))
+
+
 def oracle_sql() -> dict[str, str]:
     from nodeweave.plans.insert import InsertConfig
     from nodeweave.plans.traverse import TraversalConfig
-    from nodeweave.queries.graph_queries import CONFIG, LIMIT, TRAVERSALS
+    from nodeweave.queries.graph_queries import CONFIG, LIMIT, MLP, TRAVERSALS
 
     def w(ctes: str, tail: str) -> str:
         return f"WITH {ctes} {tail}"
@@ -191,6 +214,11 @@ def oracle_sql() -> dict[str, str]:
         "candidate_union": w(f"{BASE}, {UNION}", "SELECT parent_id, dst_id, confidence::DOUBLE AS confidence, reason FROM un"),
         "quota_topk": w(f"{BASE}, {UNION}, rr AS (SELECT *, row_number() OVER (PARTITION BY parent_id, reason ORDER BY confidence DESC, dst_id) AS r FROM un), tt AS (SELECT *, CASE WHEN reason = 'nearest_target_topic_candidate' AND r <= 3 THEN 0 WHEN reason = 'lexical_hard_negative_candidate' AND r <= 4 THEN 1 ELSE 2 END AS tier2 FROM rr)", "SELECT parent_id, dst_id, reason, row_number() OVER (PARTITION BY parent_id ORDER BY tier2, confidence DESC, dst_id)::BIGINT AS place FROM tt QUALIFY place <= 12"),
     }
+    edge_x = "query || cur_eff || edge || dst_eff || path || [confidence, 0e0] || " + _compared([("query", "dst_eff", 32), ("cur_eff", "dst_eff", 32), ("path", "dst_eff", 32), ("eq", "edge", 16)])
+    out["score_mlp"] = w(f"{BASE}, {EDGE_ROWS}, {perceptron(MLP.weights['edge'], edge_x, 'rows1')}", "SELECT src_id, dst_id, " + ", ".join(f"round(y[{i + 1}], 6) AS {n}" for i, n in enumerate(("follow", "read_full", "include", "expand", "stop", "result"))) + " FROM net")
+    attach_x = "ne || ce || nf64 || cf64 || path || " + _compared([("ne", "ce", 32), ("nf64", "cf64", 64), ("path", "ce", 32)])
+    wide = ", ".join(f"coalesce({f}, {unit(fold(v, 64))}) AS {f}64" for f, v in (("nf", "ns"), ("cf", "cs")))
+    out["attach_mlp"] = w(f"{BASE}, {_attach_rows()}, a6 AS (SELECT *, {wide} FROM ap), {perceptron(MLP.weights['attach'], attach_x, 'a6')}", "SELECT src_id, dst_id, round(y[1], 6) AS attach FROM net")
     for name, given in TRAVERSALS.items():
         kw = {k: v for k, v in given.items() if k != "seeds"}
         config = TraversalConfig(**({"max_hops": 2} | kw))
