@@ -22,6 +22,14 @@ def vec(v: Column | str) -> Column:
     return col(v).cast("array<double>")
 
 
+def checked(v: Column | str, dims: int | None = None) -> Column:
+    """The vector in double; an empty one, or one of another length than ``dims``, fails the query. Null stays null."""
+    v = vec(v)
+    wrong = F.size(v) == 0 if dims is None else F.size(v) != dims
+    fault = F.concat(F.lit(f"a vector must have {dims or 'some'} members, not "), F.size(v).cast("string"))
+    return F.when(v.isNotNull() & wrong, F.raise_error(fault).cast("array<double>")).otherwise(v)
+
+
 def total(v: Column) -> Column:
     """Sum in array order; nulls count as nothing."""
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))

@@ -170,3 +170,11 @@ def rejected(decisions: DataFrame) -> DataFrame:
 def seed_vector(nodes: DataFrame, dims: int = 16) -> DataFrame:
     """(query_id, q) of the stated query nodes at the index's length."""
     return nodes.select(F.col("node_id").alias("query_id"), resize("summary_vector", dims).alias("q"))
+
+
+def preferred_first(seeds: DataFrame, preferred: DataFrame) -> DataFrame:
+    """(query_id, seed_id, place): seeds (query_id, seed_id, rank) with the query's preferred one (query_id, preferred) first where it is among them; it stands alone where a query has none."""
+    own = preferred.select("query_id", "preferred")
+    ordered = own.join(seeds.select("query_id", "seed_id", "rank"), "query_id", "left").withColumn("seed_id", F.coalesce("seed_id", "preferred"))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.col("seed_id") == F.col("preferred")), "rank", "seed_id")
+    return ordered.select("query_id", "seed_id", F.row_number().over(w).alias("place"))

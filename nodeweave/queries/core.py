@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from nodeweave.queries import graph_queries, metric_queries, nested, pipeline_queries, vector_queries
+from nodeweave.queries import graph_queries, metric_queries, nested, pipeline_queries, training_queries, vector_queries
 
-MODULES = (vector_queries, graph_queries, metric_queries, pipeline_queries, nested)
+MODULES = (vector_queries, graph_queries, metric_queries, pipeline_queries, training_queries, nested)
 
 
 def queries() -> dict:

@@ -186,7 +186,7 @@ def oracle_sql() -> dict[str, str]:
 
     index = lsh(CONFIG)
     six = ", ".join(f"round({s}, 6) AS {s}" for s in ("follow", "read_full", "include", "expand", "stop", "result"))
-    by_index = f"SELECT query_id, node_id AS seed_id FROM hits WHERE rank <= 4"
+    by_index = "SELECT query_id, node_id AS seed_id FROM hits WHERE rank <= 4"
     out = {
         "node_upsert": w(S.NODES, "SELECT node_id, version, expressway, full_ IS NOT NULL AS has_full FROM nodes"),
         "edge_upsert": w(S.UPSERTED, "SELECT src_id, dst_id, version, confidence, created_at, updated_at FROM upserted"),

@@ -133,12 +133,6 @@ def kind_case(spark: SparkSession, d: str) -> DataFrame:
     return e.select("id", "idx", made.alias("made_kind"), hint.alias("hint"))
 
 
-def build_prompt(spark: SparkSession, d: str) -> DataFrame:
-    """One compact JSON prompt an episode, candidates in order."""
-    cand = F.transform(F.filter("candidates", lambda c: c.isNotNull()), lambda c: F.struct(c["id"].alias("id"), c["node_summary"].alias("summary"), c["destination_topic"].alias("topic"), c["hop"].alias("hop"), c["confidence"].alias("confidence")))
-    return _episodes(spark, d).select("id", F.to_json(F.struct("query", "expected_topic", F.col("current_node.summary").alias("current"), cand.alias("candidates"))).alias("prompt"))
-
-
 def distinct_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "teacher_episode").groupBy("source").agg(F.countDistinct("id").alias("ids"))
 
@@ -179,7 +173,7 @@ def round_robin(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     return {name: _per_node(columns) for name, columns in _vectors().items()} | {
         f.__name__: f
-        for f in (scalars, embed_documents, metadata_text, metadata_vector, effective_text, terms_extract, terms_overlap, metadata_conflict, strip_fence, parse_labels, teacher_coalesce, kind_case, build_prompt, distinct_ids, manifest_counts, scan_jsonl, resume_antijoin, round_robin)
+        for f in (scalars, embed_documents, metadata_text, metadata_vector, effective_text, terms_extract, terms_overlap, metadata_conflict, strip_fence, parse_labels, teacher_coalesce, kind_case, distinct_ids, manifest_counts, scan_jsonl, resume_antijoin, round_robin)
     }
 
 

@@ -24,9 +24,9 @@ def write_jsonl(df: DataFrame, shard_col: str, name: str, path: str | None = Non
 
 
 def read_in_file_order(spark: SparkSession, glob: str, schema: str) -> DataFrame:
-    """Objects with ``file`` (name only) to order by, as files are read in name order."""
+    """Objects with ``file`` (name only) and ``folder`` to order by, as files are read in name order."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(glob)
-    return rows.select("*", F.col("_metadata.file_name").alias("file"))
+    return rows.select("*", F.col("_metadata.file_name").alias("file"), F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder"))
 
 
 def manifest(df: DataFrame, shard_col: str, **facts: object) -> str:
