@@ -69,6 +69,41 @@ def test_exact_search_ties_nulls_and_empty(spark):
     assert I.exact_topk(n, "id", "v", q.limit(0), 3).count() == 0 and I.exact_topk(n.limit(0), "id", "v", q, 3).count() == 0
 
 
+@pytest.mark.parametrize("held", [100_000_000, 900])
+def test_exact_search_in_passes_and_groups(spark, monkeypatch, held):
+    monkeypatch.setattr(I, "HELD_BYTES", held)
+    rng = random.Random(held)
+    rows = [(f"n{i:03d}", [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3)], f"g{i % 3}") for i in range(120)]
+    asked = [(f"q{i:02d}", [rng.uniform(-1, 1) for _ in range(3)], f"g{i % 4}") for i in range(20)]
+    n, q = spark.createDataFrame(rows, "id string, v array<double>, g string"), spark.createDataFrame(asked, "query_id string, q array<double>, g string")
+
+    def best(x, some, k):
+        return [i for _, i in sorted((-round(sum(a * b for a, b in zip(x, v)), 9), i) for i, v in some)][:k]
+
+    got = I.exact_topk(n, "id", "v", q, 5, cosine=False).collect()
+    assert {x: [r["node_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == x] for x, _, _ in asked} == {x: best(v, [(i, w) for i, w, _ in rows], 5) for x, v, _ in asked}
+    got = I.exact_topk(n, "id", "v", q, 2, cosine=False, group="g", others=3).collect()
+    for x, v, g in asked:
+        for same, k in ((True, 2), (False, 3)):
+            assert [r["node_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == x and r["same"] == same] == best(v, [(i, w) for i, w, h in rows if (h == g) == same], k)
+
+
+def test_index_by_broadcast_and_by_salts(spark, monkeypatch):
+    rng = random.Random(3)
+    v = spark.createDataFrame([(f"n{i:03d}", [0.0, 0.0] if i % 3 == 0 else [rng.uniform(-1, 1), rng.uniform(-1, 1)]) for i in range(90)], "id string, v array<double>")
+    c = I.IndexConfig(dims=2, tables=2, bits=3)
+    q = v.filter("id < 'n010'")
+
+    def ask():
+        b = I.buckets(v, "id", F.col("v"), c)
+        return sorted(tuple(r) for r in I.query_index(b, v, q.select(F.col("id").alias("query_id"), F.col("v").alias("q")), I.buckets(q, "id", F.col("v"), c), 2, 4).collect())
+
+    small = ask()
+    monkeypatch.setattr(I, "BROADCAST_BYTES", 0)
+    assert ask() == small and len(small) == 40
+    assert I.IndexConfig.sized(1000).bits == 8 and I.IndexConfig.sized(1 << 20).bits == 14
+
+
 def sequential(nodes, edges, seeds, scores, c):
     """The traversal said step by step for one query; scores by destination."""
     exp = {n: x for n, x, _ in nodes}
@@ -119,7 +154,7 @@ def test_traversal_against_the_sequential_model(spark, seed):
     nodes = [(n, rng.random() < 0.3, rng.random() < 0.6) for n in names]
     edges = [(a, b, rng.choice([0.2, 0.5, 0.9]), rng.randrange(3)) for a in names for b in names if a != b and rng.random() < 0.3]
     scores = {n: {s: rng.choice([0.1, 0.45, 0.6, 0.75, 0.9, 0.96]) for s in SCORES} for n in names}
-    c = dict(max_hops=3, fanout=rng.choice([2, 4]), beam_width=rng.choice([1, 2, 5]), max_visited=rng.choice([4, 9, 50]), max_full_reads=rng.choice([0, 2, 9]), expressway_fanout=rng.choice([3, 6]), max_expressway_jumps=rng.choice([0, 1, 2]), mode="single_path" if seed == 5 else "beam", path_dims=2)
+    c = dict(max_hops=3, fanout=rng.choice([2, 4]), beam_width=rng.choice([1, 2, 5]), max_visited=rng.choice([4, 9, 50]), max_full_reads=rng.choice([1, 2, 9]), expressway_fanout=rng.choice([3, 6]), max_expressway_jumps=rng.choice([0, 1, 2]), mode="single_path" if seed == 5 else "beam", path_dims=2)
     table = spark.createDataFrame([(n, *[scores[n][s] for s in SCORES]) for n in names], "dst_id string, " + ", ".join(f"{s} double" for s in SCORES))
     config = TraversalConfig(**c, scorer=FixedScorer(table))
     n = spark.createDataFrame([(a, [1.0, 0.5], [1.0] if f else None, None, None, None, x, [0.5, 0.5], None, 1, T0) for a, x, f in nodes], NODE)
@@ -133,7 +168,7 @@ def test_traversal_against_the_sequential_model(spark, seed):
 
 
 def test_traversal_limits_and_bad_config(spark):
-    for bad in (dict(mode="x"), dict(fanout=0), dict(include_threshold=1.2), dict(max_hops=-1)):
+    for bad in (dict(mode="x"), dict(fanout=0), dict(max_full_reads=0), dict(include_threshold=1.2), dict(max_hops=-1)):
         with pytest.raises(ValueError):
             TraversalConfig(**bad)
     n = spark.createDataFrame([node("a"), node("b")], NODE)
@@ -158,6 +193,8 @@ def test_insert_links_both_ways(spark):
     nodes2, edges2 = insert_in_order(n, e, [new], c)
     assert nodes2.count() == 4 and {(r["src_id"], r["dst_id"]) for r in edges2.collect()} == pairs
     assert attach(n.limit(0), e, new, c).count() == 0
+    again = insert_batch(n, e.union(spark.createDataFrame([edge("n", "a", 0.1, created=77)], EDGE)), new, c).filter("src_id = 'n' and dst_id = 'a'").first()
+    assert again["created_at"] == 77 and again["confidence"] > 0.5, "an edge that was there keeps its creation"
 
 
 def test_valid_edges(spark):
