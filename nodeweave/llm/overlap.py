@@ -150,7 +150,7 @@ def _blocks(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
 
 
 def shared_span_pairs(texts: DataFrame, depth: int, payload, close, front: float = 1.0) -> DataFrame:
-    """(a, b, span): every held-out and training text that share a span of ``depth`` and pass ``close``, with the longest of their spans (up to SPAN); texts is (rid, held_out, symbols array<long>, ...).
+    """(a, b, span): every held-out and training text that share a span of ``depth`` and pass ``close``, with the longest of the spans they met by (up to SPAN); texts is (rid, held_out, symbols array<long>, ...).
 
     Only suffixes that begin in the first ``front`` of a text are read (1 reads all). No run
     is left out for its size: one of more than BLOCK suffixes a side is dealt in
@@ -256,8 +256,8 @@ def set_overlaps(df: DataFrame, id_col: str, split_col: str, set_col: str, thres
     of either text's members in the other, so its first common member stands no
     later in both. ``front`` may ask for more of a text, never for less.
     ``held_out`` is the evaluation record's id, ``covered`` the share of its members
-    that the training record holds, ``span`` their longest shared span in rarest-first
-    order (up to SPAN).
+    that the training record holds, ``span`` the longest of the shared spans by which they
+    met (in rarest-first order, up to SPAN).
     """
     sided = _sided(df, id_col, split_col).select("id", "held_out", F.array_distinct(F.transform(F.array_compact(set_col), lambda w: F.xxhash64(w))).alias("members"))
     sided = stage(sided.filter(F.size("members") >= least).withColumn("digest", F.unhex(F.md5(F.concat_ws(",", F.array_sort("members").cast("array<string>"))))), "sided")
