@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+import nodeweave.llm.near_dups as near_dups
 from nodeweave.llm.components import components
 from nodeweave.llm.near_dups import near_duplicate_groups, pairs_of, shingles_of, words_of
 from nodeweave.llm.splits import assign_splits, linked_groups
@@ -56,6 +58,28 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicate_groups(df.limit(0).select("id", words_of("t").alias("w")), "id", "w").count() == 0
 
 
+def test_crowded_nodes_are_dealt_and_shallow_links_found(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "NODE_PAIRS", 20)
+    rng = random.Random(5)
+    stem = [f"s{i}" for i in range(16)]
+    rows = [(f"f{i:03d}", " ".join([*stem, *rng.sample([f"x{k}" for k in range(90)], 4)])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, t string")
+    got = {r["id"]: r["group"] for r in near_duplicate_groups(df.select("id", words_of("t").alias("w")), "id", "w", 0.75).collect()}
+    sets = {i: frozenset(t.split()) for i, t in rows}
+    ids = sorted(sets)
+    links = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])]
+    assert got == union_find(ids, links)
+    with pytest.raises(ValueError):
+        near_dups.depth_for(0.1, 4, 0.999, 10)
+
+
+def test_draws_share_out_as_planned(spark):
+    many = spark.range(20_000).select(F.concat(F.lit("r"), "id").alias("id"), F.concat(F.lit("g"), F.floor(F.col("id") / 2)).alias("group"))
+    plan = spark.createDataFrame([("train", 8.0), ("validation", 1.0), ("test", 1.0), ("none", None)], "split string, share double")
+    got = {r["split"]: r["n"] / 20_000 for r in assign_splits(many, plan).groupBy("split").agg(F.count("*").alias("n")).collect()}
+    assert set(got) == {"train", "validation", "test"} and abs(got["train"] - 0.8) < 0.01 and abs(got["test"] - 0.1) < 0.01
+
+
 def test_shingles(spark):
     r = spark.createDataFrame([("a b c d e f",), ("a b",), ("",), (None,)], "t string").select(shingles_of("t").alias("s")).collect()
     assert [x["s"] for x in r[:3]] == [["a b c d e", "b c d e f"], ["a b"], []]

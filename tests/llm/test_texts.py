@@ -5,10 +5,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import nodeweave.llm.leaks as leaks
 import nodeweave.llm.reading as reading
 from nodeweave.llm.leaks import aligned, fewest_seeds, item_words, leaked_items, plain_words, seeds_needed, words_with_offsets
 from nodeweave.llm.packing import pack, plan_containers, token_counts
-from nodeweave.llm.reading import blocks, prose, reading_level, sentences
+from nodeweave.llm.reading import blocks, prose, reading_level, sentences, within_levels
 
 
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 60), max_size=12))
@@ -41,6 +42,14 @@ def test_pack(spark):
     assert max(fill.values()) <= 20 and len(fill) <= 1.1 * sum(fill.values()) / 20
     assert {r["id"] for r in got if r["piece"] > 0} == {1000} and sorted(r["tokens"] for r in got if r["id"] == 1000) == [17, 20, 20]
     assert all((r["container"] is None) == (r["tokens"] == 0) for r in got)
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for r in got:
+        if r["container"] is not None:
+            spans.setdefault(r["container"], []).append((r["place"], r["place"] + r["tokens"]))
+    for held in spans.values():
+        held.sort()
+        assert held[0][0] == 0 and held[-1][1] <= 20 and all(a[1] == b[0] for a, b in zip(held, held[1:])), "pieces stand one after another"
+    assert sorted((r["first"], r["tokens"]) for r in got if r["id"] == 1000) == [(0, 20), (20, 20), (40, 17)]
     assert pack(spark.createDataFrame([], "id long, tokens long")).count() == 0
 
 
@@ -67,6 +76,25 @@ def test_leaks(spark):
     assert docs[0][1][one["start"] : one["end"]] == ITEM.upper()[:-1], "offsets are into the original"
 
 
+def test_every_stretch_with_its_place_and_items_in_portions(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "ITEM_CHARACTERS", 10)
+    other = "Nine sturdy wagons carried salted herring over the frozen pass towards Belmora while the bells of Tarn rang for two days."
+    text = f"First {ITEM} Then words between that belong to nobody at all, quite a lot of them in fact. {'x ' * 60}<p>{ITEM.lower()}</p> and {other}"
+    items = spark.createDataFrame([(1, ITEM), (2, other), (3, "too short")], "item_id long, text string")
+    got = sorted((r["item_id"], r["start"], text[r["start"] : r["end"]]) for r in leaked_items(spark.createDataFrame([(7, text)], "doc_id long, text string"), items).collect())
+    assert [(k, t) for k, _, t in got] == [(1, ITEM[:-1]), (1, ITEM.lower()[:-1]), (2, other[:-1])]
+    assert leaked_items(spark.createDataFrame([(7, text)], "doc_id long, text string"), items.limit(0)).count() == 0
+
+
+@given(st.lists(st.sampled_from(["word", "Zwei", "naïve", "&amp;", "&#65;", "&eacute", "AT&T", "<b>", "</b>", "<p class='x'>", "<", "a-\nb", "A-\nB", "\n", " ", "­", "ﬁ", "ß", "x<i>y</i>z", "𝐚", "&lt;b&gt;"]), max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_words_and_offsets_agree(parts):
+    text = "".join(parts)
+    found = words_with_offsets(text)
+    assert [w for w, _, _ in found] == plain_words(text)
+    assert all(0 <= a < b <= len(text) for _, a, b in found) and all(x[2] <= y[2] and x[1] <= y[1] for x, y in zip(found, found[1:]))
+
+
 def test_a_stretch_of_18_words_with_3_edits_is_found(spark):
     assert fewest_seeds(4, 15, 6) == 3 and fewest_seeds(4, 15, 2) == 1
     item = [f"word{i}" for i in range(18)]
@@ -149,6 +177,13 @@ def test_reading_levels_and_coverage(spark, monkeypatch):
     assert reading_level(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_levels_select_by_score_and_vocabulary(spark):
+    rows = spark.createDataFrame([(1, 2, 2), (2, 2, 4), (3, 4, 2), (4, 3, 3), (5, 1, 1)], "id int, level int, vocabulary_level int")
+    assert sorted(r["id"] for r in within_levels(rows, 2, 3).collect()) == [1, 4]
+    with pytest.raises(ValueError):
+        within_levels(rows, 3, 2)
+
+
 @pytest.mark.parametrize("share,want", [(0.5, 1), (1.0, 3)])
 def test_coverage_rank(spark, share, want):
     text = "the " * 30 + "cat is " * 10 + "cat"
