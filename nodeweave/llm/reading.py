@@ -31,6 +31,7 @@ GERMAN = frozenset("der die das den dem des ein eine einen einem einer und oder
 SPANISH = frozenset("el la los las un una unos unas y o no de del en por para con sin sobre entre hasta desde es son fue era ha han se lo su sus al que como más pero si ya muy nadie hace antes después debe puede esta este".split())
 FRENCH = frozenset("le la les un une des du de et ou ne pas est sont était a ont été avec sans sur sous dans par pour en au aux ce cette ces qui que quoi il elle nous vous ils elles son sa ses leur plus avant après depuis doit peut y d l n s".split())
 ABBREVIATIONS = frozenset("approx cf e.g i.e eg ie etc vs dr mr mrs ms prof st resp incl excl al dept est min max tel jr sr".split())
+SURE = 7
 NUMBERED = frozenset("no nos nr vol fig sec art ch p pp ver v".split())
 CLOSINGS = re.compile(
     r"\s*(end of (record|document|file|message|notice)\b|printed copies are uncontrolled|this (memorandum|document|message|notice|e-?mail) is (furnished|provided|issued|confidential|intended)\b.*(prejudice|authori[sz]ation|recipient|confidential)?"
@@ -50,6 +51,7 @@ TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 FENCE = re.compile(r"(?s)```.*?(?:```|\Z)")
 LAST_WORD = re.compile(r"[\w.]*$")
 LETTERS = re.compile(r"[^\W\d_]+")
+ASCII_WORD = re.compile("[a-z]+")
 VOWELS = re.compile(r"[aeiouy]+")
 STOP = re.compile(r"[.!?]+[\"')\]’”]*(?=\s|$)")
 ASCII_LETTERS = string.ascii_letters.encode()
@@ -132,7 +134,9 @@ def sentences(block: str) -> list[str]:
     """Sentences of a block: a stop ends one unless it belongs to an abbreviation or a number; the block's end does too."""
     out, start = [], 0
     for m in STOP.finditer(block):
-        if m[0][0] == ".":
+        at = m.start()
+        # no abbreviation has as many as SURE letters
+        if block[at] == "." and not (at - start >= SURE and block[at - SURE : at].isalpha()):
             word = LAST_WORD.search(block[max(start, m.start() - 24) : m.start()])[0].lower()
             rest = block[m.end() :].lstrip()
             if word in ABBREVIATIONS or word.rstrip(".") in ABBREVIATIONS and rest or (word in NUMBERED and rest[:1].isdigit()) or (len(word) == 1 and word.isalpha() and word != "i" and rest[:1].islower()):
@@ -144,20 +148,19 @@ def sentences(block: str) -> list[str]:
     return out
 
 
-#: Word to the languages whose function word it is.
 LANGUAGES = ("en", "de", "es", "fr")
-SPOKEN = {w: tuple(k for k, v in enumerate((ENGLISH, GERMAN, SPANISH, FRENCH)) if w in v) for w in ENGLISH | GERMAN | SPANISH | FRENCH}
+#: Function word to a one in the digit (of DIGIT bits) of each of its languages, so that one sum counts for all four.
+DIGIT = 24
+SPOKEN = {w: sum(1 << DIGIT * k for k, v in enumerate((ENGLISH, GERMAN, SPANISH, FRENCH)) if w in v) for w in ENGLISH | GERMAN | SPANISH | FRENCH}
 
 
 def language(words: list[str]) -> str:
     """The language whose function words a block has most of; none if it has none."""
-    score = [0, 0, 0, 0]
-    for w in words:
-        if w in SPOKEN:
-            for k in SPOKEN[w]:
-                score[k] += 1
-    best = max(score)
-    return LANGUAGES[score.index(best)] if best else ""
+    total = sum([SPOKEN[w] for w in words if w in SPOKEN])
+    if not total:
+        return ""
+    score = [total >> DIGIT * k & (1 << DIGIT) - 1 for k in range(4)]
+    return LANGUAGES[score.index(max(score))]
 
 
 class _VowelGroups(dict):
@@ -175,35 +178,31 @@ VOWEL_GROUPS = _VowelGroups()
 
 def prose(text: str | None) -> tuple[int, int, int, Counter]:
     """(words, sentences, vowel groups, word counts) of the English prose of a text."""
-    n_words = n_sentences = n_vowels = 0
-    seen: Counter = Counter()
+    n_sentences = 0
+    said: list[str] = []
     unsure: list[list[str]] = []
-    langs: Counter = Counter()
-
-    def add(found: list[str]) -> None:
-        nonlocal n_words, n_sentences, n_vowels
-        n_words += len(found)
-        n_sentences += 1
-        n_vowels += sum([VOWEL_GROUPS[w] for w in found])
-        seen.update(found)
-
+    langs = {"": 0, **dict.fromkeys(LANGUAGES, 0)}
     for block in blocks(text or ""):
         for s in sentences(block):
             if CLOSINGS.match(s):
                 continue
-            found = LETTERS.findall(s.lower())
+            low = s.lower()
+            found = (ASCII_WORD if low.isascii() else LETTERS).findall(low)
             if not found:
                 continue
             lang = language(found)
             langs[lang] += len(found)
             if lang == "en":
-                add(found)
+                n_sentences += 1
+                said += found
             elif not lang or len(found) <= 3:
                 unsure.append(found)
-    if n_words and langs["en"] >= max(langs["de"], langs["es"], langs["fr"]):
+    if said and langs["en"] >= max(langs["de"], langs["es"], langs["fr"]):
         for found in unsure:
-            add(found)
-    return n_words, n_sentences, n_vowels, seen
+            n_sentences += 1
+            said += found
+    seen = Counter(said)
+    return len(said), n_sentences, sum([VOWEL_GROUPS[w] * n for w, n in seen.items()]), seen
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
