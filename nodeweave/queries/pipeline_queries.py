@@ -12,7 +12,8 @@ from nodeweave.operators.scorers import HeuristicScorer, RelationScorer
 from nodeweave.queries.graph_queries import _attach_rows, _topics
 from nodeweave.queries.graph_sql import BASE
 from nodeweave.queries.graph_sql import _attach_rows as attach_rows_sql
-from nodeweave.queries.sqlx import EPISODES, clamp, cos01
+from nodeweave.queries.sqlx import EPISODES, clamp, cos01, fold, r6, unit, zipped
+from nodeweave.queries.vector_queries import _embed_sql
 from nodeweave.session import stage
 from nodeweave.sources.tables import table
 
@@ -80,6 +81,18 @@ def convert_ranking(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("id").agg(F.first(V.rounded("query_vector")).alias("query"), F.first(V.rounded("current_summary")).alias("current_summary"), F.first(V.rounded("path")).alias("path"), F.array_sort(F.collect_list(one)).alias("candidates")).withColumn("id", F.concat("id", F.lit(":traversal-ranking")))
 
 
+def ranking_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The ranking cases with their candidates' fields as arrays in order, vectors one after another."""
+    c = F.col("candidates")
+    return convert_ranking(spark, d).select(
+        "id", "query", "current_summary", "path", *[c[f].alias(n) for n, f in CASE_FIELDS.items()], F.flatten(c["dst_summary"]).alias("dst_summaries"), F.flatten(c["edge"]).alias("edges"),
+    )
+
+
+#: Arrays of a ranking case and the candidates' field in each.
+CASE_FIELDS = {"ids": "id", "kinds": "kind", "labels": "label", "rank_targets": "rank_target", "result_labels": "result_label", "result_rank_targets": "result_rank_target", "weights": "weight", "confidences": "confidence", "hops": "hop"}
+
+
 def ordered_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """Positives, then hard negatives, then candidates of an episode: first place wins, twelve at most."""
     e = table(spark, d, "teacher_episode").dropDuplicates(["id"])
@@ -133,10 +146,68 @@ def eval_attach(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (convert_regression, convert_ranking, ordered_dedupe, build_cases, domain_expand, attach_summary_rank, attach_relation_rank, eval_attach)}
+    return {f.__name__: f for f in (convert_regression, convert_ranking, ranking_cases, ordered_dedupe, build_cases, domain_expand, attach_summary_rank, attach_relation_rank, eval_attach)}
+
+
+def _stripped(x: str) -> str:
+    return f"lower(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'))"
+
+
+def _list_text(x: str) -> str:
+    return f"'[' || array_to_string(list_transform({x}, lambda e: coalesce({_stripped('e')}, '')), ',') || ']'"
+
+
+def _entries(parts: list[tuple[str, str]], mark: str, between: str, inner: bool) -> str:
+    """key and text pairs, in order of their keys, those without text left out (within an object those that end in a colon too)."""
+    keep = "coalesce(e, '') <> ''" + (" AND right(e, 1) <> ':'" if inner else "")
+    made = ", ".join(f"[{x}]" for _, x in sorted(parts))
+    names = "[" + ", ".join(f"'{k}'" for k, _ in sorted(parts)) + "]"
+    return f"array_to_string(list_filter(list_transform(flatten([{made}]), lambda e, i: CASE WHEN {keep} THEN {names}[i] || '{mark}' || e END), lambda e: e IS NOT NULL), '{between}')"
+
+
+def _conversion() -> str:
+    """CTEs up to converted: a row for each candidate with its vectors, targets and place."""
+    def node(x: str) -> str:
+        return _entries([("topic", _stripped(f"{x}.topic")), ("plain_topic", _stripped(f"{x}.plain_topic")), ("terms", _list_text(f"{x}.terms"))], "=", " | ", False)
+
+    intent = [(f, _stripped(f"query_intent.{f}")) for f in ("text", "target_topic", "target_plain_topic", "domain", "tenant", "workflow", "region", "severity", "actor")]
+    intent += [(f, _list_text(f"query_intent.{f}")) for f in ("target_terms", "expected_positive_ids", "hard_negative_ids")]
+    intent += [("metadata", "CASE WHEN query_intent.metadata IS NOT NULL THEN '{' || array_to_string(list_sort(list_transform(list_filter(map_entries(query_intent.metadata), lambda e: coalesce(" + _stripped("e.value") + ", '') <> '' AND right(" + _stripped("e.value") + ", 1) <> ':'), lambda e: e.key || ':' || " + _stripped("e.value") + ")), ',') || '}' END")]
+    relation = [(f, _stripped(f"c.relation.{f}")) for f in ("domain", "source_domain", "tenant", "query_workflow", "candidate_workflow", "decision_hint")]
+    relation += [(f, f"c.relation.{f}::VARCHAR") for f in ("same_workflow", "same_domain")] + [("metadata_conflict", _list_text("c.relation.metadata_conflict"))]
+    meta = [("topic", _stripped("c.destination_topic")), ("plain_topic", _stripped("c.destination_plain_topic")), ("terms", _list_text("c.destination_terms")), ("kind", _stripped("c.kind")), ("retrieval_reason", _stripped("c.retrieval_reason"))]
+    meta += [("relation", "CASE WHEN c.relation IS NOT NULL THEN '{' || " + _entries(relation, ":", ",", True) + " || '}' END")]
+    mixed = unit(zipped("a.v", "b.v", 32, "0.78 * {x} + 0.22 * {y}"))
+    edge = unit(zipped("s", "d", 16, "tanh(0.8 * ({y} - {x}) + 0.4 * {x} * {y})"))
+    teacher = ", ".join(f"CASE WHEN c.qwen_teacher IS NOT NULL THEN c.qwen_teacher.{t} ELSE c.bootstrap_teacher.{t} END AS {t}" for t in TARGETS)
+    return f"""
+    once AS (SELECT * FROM teacher_episode WHERE id IS NOT NULL AND trim(query) <> '' AND current_node IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at) = 1),
+    st AS (SELECT * FROM (SELECT id, unnest(path) AS n, unnest(range(0, len(path))) AS pos FROM once) WHERE n IS NOT NULL),
+    ca AS (SELECT * FROM (SELECT id, unnest(candidates) AS c, unnest(range(0, len(candidates)))::INT AS idx FROM once) WHERE c IS NOT NULL),
+    pr AS (
+      SELECT 'q' || id AS id, query AS txt, {_entries(intent, "=", " | ", False)} AS met FROM once
+      UNION ALL SELECT 'n' || id, current_node.summary, {node("current_node")} FROM once
+      UNION ALL SELECT 's' || pos || '#' || id, n.summary, {node("n")} FROM st
+      UNION ALL SELECT 'c' || idx || '#' || id, c.node_summary, {_entries(meta, "=", " | ", False)} FROM ca
+    ),
+    src AS (SELECT 't' || id AS id, coalesce(txt, '') AS txt FROM pr UNION ALL SELECT 'm' || id, coalesce(met, '') FROM pr),
+    {_embed_sql('src', 32)},
+    ev AS (SELECT p.id, {mixed} AS v FROM pr p JOIN embedded a ON a.id = 't' || p.id JOIN embedded b ON b.id = 'm' || p.id),
+    ps AS (SELECT id, list(x ORDER BY k) AS psum FROM (SELECT st.id, k, sum(ev.v[k]) AS x FROM st JOIN ev ON ev.id = 's' || st.pos || '#' || st.id, range(1, 33) r(k) GROUP BY st.id, k) GROUP BY id),
+    cv AS (
+      SELECT ca.id, ca.idx, c.id AS candidate_id, c.kind AS kind, c.confidence AS confidence, coalesce(c.hop, 0) AS hop, q.v AS query, n.v AS current_summary, d.v AS dst_summary, coalesce({unit('psum')}, q.v) AS path,
+             {unit(fold('n.v', 16))} AS s, {unit(fold('d.v', 16))} AS d, {teacher}, CASE WHEN c.qwen_teacher IS NOT NULL THEN c.qwen_teacher.result END AS result0
+      FROM ca JOIN ev q ON q.id = 'q' || ca.id JOIN ev n ON n.id = 'n' || ca.id JOIN ev d ON d.id = 'c' || ca.idx || '#' || ca.id LEFT JOIN ps ON ps.id = ca.id
+    ),
+    converted AS (SELECT *, {edge} AS edge, coalesce(result0, include) AS result FROM cv)"""
 
 
 def oracle_sql() -> dict[str, str]:
+    six = "[" + ", ".join(f"round({t}, 6)" for t in (*TARGETS, "result")) + "]"
+    member = (
+        "struct_pack(idx := idx, id := candidate_id, kind := kind, label := (coalesce(follow, 0) >= 0.65)::INT, rank_target := round(follow, 6), result_label := (coalesce(result, 0) >= 0.65)::INT, result_rank_target := round(result, 6), "
+        f"weight := round(0.5 + abs(result - 0.5) * 2.0, 6), dst_summary := {r6('dst_summary')}, edge := {r6('edge')}, confidence := confidence, hop := hop)"
+    )
     listed = f"""{EPISODES},
     al AS (
       SELECT id, 0 AS tier, unnest(query_intent.expected_positive_ids) AS x, unnest(range(0, len(query_intent.expected_positive_ids))) AS o FROM episodes
@@ -149,6 +220,8 @@ def oracle_sql() -> dict[str, str]:
     rel = clamp("0.7 * " + cos01("nr", "cr") + " + 0.2 * " + cos01("ns", "cs") + " + 0.1 * " + cos01("ns", "cs"))
     heu = clamp("0.6 * " + cos01("ne", "ce") + " + 0.3 * coalesce(" + cos01("nf", "cf") + ", " + cos01("ns", "cs") + ") + 0.1 * " + cos01("path", "ce"))
     return {
+        "convert_regression": f"WITH {_conversion()} SELECT candidate_id || ':regression' AS id, {r6('edge')} AS edge, {r6('dst_summary')} AS dst_summary, {r6('path')} AS path, {r6('query')} AS query, {r6('current_summary')} AS current_summary, confidence, hop, {six} AS target FROM converted",
+        "ranking_cases": f"WITH {_conversion()}, g AS (SELECT id || ':traversal-ranking' AS id, {r6('any_value(query)')} AS query, {r6('any_value(current_summary)')} AS current_summary, {r6('any_value(path)')} AS path, list({member} ORDER BY idx) AS cs FROM converted GROUP BY id) SELECT id, query, current_summary, path, " + ", ".join(f"list_transform(cs, lambda c: c.{f}) AS {n}" for n, f in CASE_FIELDS.items()) + ", flatten(list_transform(cs, lambda c: c.dst_summary)) AS dst_summaries, flatten(list_transform(cs, lambda c: c.edge)) AS edges FROM g",
         "ordered_dedupe": f"WITH {listed} SELECT e.id, coalesce((SELECT string_agg(x, ',' ORDER BY place) FROM pl WHERE pl.id = e.id AND place <= 12), '') AS ids FROM episodes e",
         "build_cases": f"WITH {listed} SELECT p.id, (place - 1)::INT AS place, x AS node_id, CASE WHEN coalesce(list_contains(e.query_intent.expected_positive_ids, x), false) THEN 'positive' WHEN coalesce(list_contains(e.query_intent.hard_negative_ids, x), false) THEN 'hard_same_domain_negative' ELSE 'cross_domain_negative' END AS kind, coalesce(list_contains(e.query_intent.expected_positive_ids, x), false)::INT AS label FROM pl p JOIN episodes e USING (id) WHERE place <= 12",
         "domain_expand": "WITH t AS (SELECT DISTINCT metadata['topic'] AS topic FROM node_frame WHERE metadata['topic'] IS NOT NULL), n AS (SELECT topic, split_part(topic, ':', 1) AS domain, row_number() OVER (PARTITION BY split_part(topic, ':', 1) ORDER BY topic) - 1 AS i, count(*) OVER (PARTITION BY split_part(topic, ':', 1)) AS n FROM t) SELECT a.topic || ':' || s AS node_id, b.topic || ':' || s AS hard_negative_id, k::INT AS step FROM n a, (VALUES (1), (2)) x(k), (VALUES ('policy'), ('runbook'), ('evidence')) y(s), n b WHERE b.domain = a.domain AND b.i = (a.i + k) % a.n AND b.topic <> a.topic",
