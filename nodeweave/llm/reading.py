@@ -17,8 +17,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -217,12 +217,27 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _covering(ranks: np.ndarray, counts: np.ndarray, share: float) -> int | None:
-    order = np.argsort(ranks, kind="stable")
-    total = np.cumsum(counts[order])
-    at = int(np.searchsorted(total, np.ceil(share * total[-1])))
-    rank = ranks[order[at]]
-    return None if rank == np.iinfo(np.int64).max else int(rank)
+def _covering(names: pa.Array, ranks: np.ndarray, share: float):
+    """The coverage rank of each document of a batch, all at once; null where it needs a word that is not among ``names``."""
+    last = np.iinfo(np.int64).max
+
+    def run(vocabulary: pa.Array, counts: pa.Array) -> pa.Array:
+        if not len(vocabulary):
+            return pa.array([], pa.int64())
+        lengths = vocabulary.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        at = pc.index_in(vocabulary.flatten().cast(pa.string()), value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)
+        rank = np.where(at >= 0, ranks[np.maximum(at, 0)] if len(ranks) else last, last)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        order = np.lexsort((rank, row))
+        said = np.cumsum(counts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)[order])
+        ends = np.cumsum(lengths) - 1
+        before = np.concatenate(([0], said[ends[:-1]]))
+        enough = said >= (before + np.ceil(share * (said[ends] - before)))[row]
+        first = np.minimum.reduceat(np.where(enough, np.arange(len(row)), len(row) - 1), ends - lengths + 1)
+        reached = rank[order][first]
+        return pa.array(reached, pa.int64(), mask=reached == last)
+
+    return run
 
 
 def reading_level(df: DataFrame, id_col: str, text_col: str, share: float = SHARE, min_words: int = MIN_WORDS) -> DataFrame:
@@ -245,13 +260,13 @@ def reading_level(df: DataFrame, id_col: str, text_col: str, share: float = SHAR
     classes = used.groupBy("n").agg(F.count("*").alias("k")).withColumn("rank", F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)))
     classes = stage(classes.select("n", "rank"), "classes")
     ranked = used.join(F.broadcast(classes), "n").select("word", "rank")
-    head = {r["word"]: r["rank"] for r in ranked.filter(F.col("rank") <= HEAD_WORDS).collect()}
-    table = df.sparkSession.sparkContext.broadcast(head)
+    head = ranked.filter(F.col("rank") <= HEAD_WORDS).toArrow()
+    names = head.column("word").combine_chunks().cast(pa.string()) if head.num_rows else pa.array([], pa.string())
+    table = df.sparkSession.sparkContext.broadcast((names, head.column("rank").to_numpy().astype(np.int64)))
 
-    @F.pandas_udf("long")
-    def covering(vocabulary: pd.Series, counts: pd.Series) -> pd.Series:
-        get, last = table.value.get, np.iinfo(np.int64).max
-        return pd.Series([_covering(np.array([get(w, last) for w in v], np.int64), np.asarray(c), share) for v, c in zip(vocabulary, counts)], dtype="Int64")
+    @F.arrow_udf("long")
+    def covering(vocabulary: pa.Array, counts: pa.Array) -> pa.Array:
+        return _covering(*table.value, share)(vocabulary, counts)
 
     first = stage(docs.withColumn("coverage_rank", covering("vocabulary", "counts")), "covered")
     covered = first.filter("coverage_rank is not null").select("id", "words", "sentences", "vowel_groups", "coverage_rank")
