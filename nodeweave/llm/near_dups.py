@@ -19,7 +19,6 @@ Exact copies are one record from the start.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
