@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -15,12 +16,42 @@ from nodeweave.functions.vectors import col
 from nodeweave.operators.scorers import SCORES
 
 
+#: Rows that a model works on at once: the tokens and hidden layers of a whole Arrow batch of 10,000 rows take gigabytes.
+BLOCK_ROWS = 64
+
+
+def in_blocks(score: Callable[..., dict[str, np.ndarray]], rows: int = BLOCK_ROWS) -> Callable[..., dict[str, np.ndarray]]:
+    """``score`` over every row, a block at a time; its memory grows with the block and not with the batch."""
+
+    def run(*given: Rows | np.ndarray) -> dict[str, np.ndarray]:
+        starts = range(0, len(given[0].x), rows) or [0]
+        got = [score(*[_cut(g, slice(i, i + rows)) for g in given]) for i in starts]
+        return {name: np.concatenate([g[name] for g in got]) for name in got[0]}
+
+    return run
+
+
+def _cut(g: Rows | np.ndarray, at: slice) -> Rows | np.ndarray:
+    return Rows(g.x[at], g.size[at], g.there[at]) if isinstance(g, Rows) else g[at]
+
+
 def gelu(x: np.ndarray) -> np.ndarray:
     """x times the normal distribution function, by a rational approximation of erf good to 1.5e-7."""
-    z = np.abs(x) / math.sqrt(2)
+    z = np.abs(x)
+    z *= 1 / math.sqrt(2)
     t = 1 / (1 + 0.3275911 * z)
-    erf = 1 - (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * np.exp(-z * z)
-    return x * 0.5 * (1 + np.sign(x) * erf)
+    z *= z
+    y = np.exp(np.negative(z, out=z), out=z)
+    p = 1.061405429 * t
+    for c in (-1.453152027, 1.421413741, -0.284496736, 0.254829592):
+        p += c
+        p *= t
+    p *= y
+    erf = np.copysign(np.subtract(1, p, out=p), x, out=p)
+    erf += 1
+    erf *= x
+    erf *= 0.5
+    return erf
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -38,7 +69,10 @@ def _layer(rng: np.random.Generator, rows: int, cols: int) -> dict[str, np.ndarr
 
 
 def linear(p: dict, x: np.ndarray) -> np.ndarray:
-    return x @ p["w"].T + p["b"]
+    """One product for all tokens of all rows."""
+    y = x.reshape(-1, x.shape[-1]) @ p["w"].T
+    y += p["b"]
+    return y.reshape(*x.shape[:-1], len(p["b"]))
 
 
 def layer_norm(p: dict, x: np.ndarray) -> np.ndarray:
@@ -74,17 +108,23 @@ def perceptron(w: dict, features: list[np.ndarray]) -> np.ndarray:
 
 
 def encoder(w: dict, x: np.ndarray, heads: int) -> np.ndarray:
-    """Post-norm self-attention layers over (rows, tokens, width)."""
+    """Post-norm self-attention layers over (rows, tokens, width), of which the first token is returned: the last layer works out no other."""
     n, t, h = x.shape
-    for name in sorted(w["layers"], key=int):
+    names = sorted(w["layers"], key=int)
+
+    def split(y: np.ndarray) -> np.ndarray:
+        return y.reshape(n, y.shape[1], heads, h // heads).transpose(0, 2, 1, 3)
+
+    for name in names:
         p = w["layers"][name]
-        q, k, v = (linear(p[s], x).reshape(n, t, heads, h // heads).transpose(0, 2, 1, 3) for s in ("q", "k", "v"))
+        asked = x[:, :1] if name == names[-1] else x
+        q, k, v = split(linear(p["q"], asked)), split(linear(p["k"], x)), split(linear(p["v"], x))
         a = q @ k.transpose(0, 1, 3, 2) / math.sqrt(h // heads)
         a = np.exp(a - a.max(-1, keepdims=True))
-        mixed = ((a / a.sum(-1, keepdims=True)) @ v).transpose(0, 2, 1, 3).reshape(n, t, h)
-        x = layer_norm(p["n1"], x + linear(p["o"], mixed))
+        mixed = ((a / a.sum(-1, keepdims=True)) @ v).transpose(0, 2, 1, 3).reshape(asked.shape)
+        x = layer_norm(p["n1"], asked + linear(p["o"], mixed))
         x = layer_norm(p["n2"], x + linear(p["f2"], gelu(linear(p["f1"], x))))
-    return x
+    return x[:, 0]
 
 
 #: Which projection makes a token of each feature.
@@ -96,7 +136,7 @@ def mixed_tokens(w: dict, features: list[np.ndarray], kinds: tuple[str, ...], he
     """What the encoder makes of the first token, over one token for each feature."""
     tokens = [linear(w[k], f) for k, f in zip(kinds, features)]
     x = np.stack([np.broadcast_to(w["cls"], tokens[0].shape), *tokens], axis=1) + w["types"]
-    return encoder(w, x, heads)[:, 0]
+    return encoder(w, x, heads)
 
 
 def transformer_edge(w: dict, features: list[np.ndarray], heads: int) -> np.ndarray:
@@ -257,7 +297,7 @@ class NeuralScorer:
             out = perceptron(sent.value, features) if c.model_kind == "mlp" else transformer_attach(sent.value, features, c.transformer_heads)
             return {"attach": np.where(there, out[:, 0], np.nan)}
 
-        return with_scores(df, ["new_eff", "cand_eff", "new_full", "cand_full", "new_summary", "cand_summary", "path"], [], ["attach"], score)
+        return with_scores(df, ["new_eff", "cand_eff", "new_full", "cand_full", "new_summary", "cand_summary", "path"], [], ["attach"], in_blocks(score))
 
 
 def _else(a: Rows, b: Rows) -> Rows:

@@ -179,13 +179,16 @@ def bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _attach_rows(spark: SparkSession, d: str) -> DataFrame:
-    n, e = graph(spark, d)
-    sides = stage(n.select("node_id", B.effective_column("summary_vector", "metadata_vector", 32).alias("eff"), V.vec("summary_vector").alias("summary"), V.vec("full_vector").alias("full"), V.vec("traversal_vector").alias("route")).withColumn("path", B.unit_column("eff")), "sides")
+    """Attach input for every kept edge. Vectors travel as they were delivered, often in float, and are double once they are joined."""
+    _, e = graph(spark, d)
+    n = current_nodes(table(spark, d, "node_frame"), ["summary_vector", "full_vector", "metadata_vector", "traversal_vector"])
+    sides = stage(n.select("node_id", B.effective_column("summary_vector", "metadata_vector", 32).alias("eff"), F.col("summary_vector").alias("summary"), F.col("full_vector").alias("full"), F.col("traversal_vector").alias("route")).withColumn("path", B.unit_column("eff")), "sides")
 
     def side(prefix: str, key: str) -> DataFrame:
         return sides.select(F.col("node_id").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in ("eff", "summary", "full", "route")], *([F.col("path")] if prefix == "cand" else []))
 
-    return e.select("src_id", "dst_id").join(side("new", "src_id"), "src_id").join(side("cand", "dst_id"), "dst_id")
+    r = e.select("src_id", "dst_id").join(side("new", "src_id"), "src_id").join(side("cand", "dst_id"), "dst_id")
+    return r.select(*[c if c.endswith("_id") else V.vec(c).alias(c) for c in r.columns])
 
 
 def score_attach(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from nodeweave.functions import batch as B
 from nodeweave.functions import vectors as V
 from nodeweave.operators import learning as L
+from nodeweave.operators import models
 from nodeweave.operators.models import ModelConfig, NeuralScorer, split_inputs
 from nodeweave.operators.scorers import CountingScorer, HeuristicScorer
 from nodeweave.session import shared_dir
@@ -113,6 +115,29 @@ def test_models_against_plain_loops(spark, tmp_path, given):
     assert m.edge_columns(spark.createDataFrame([], EDGES)).count() == 0
 
 
+@pytest.mark.parametrize("part", ["attach"])
+def test_models_work_in_small_memory_on_a_whole_batch(monkeypatch, part):
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    monkeypatch.setattr(models, "with_scores", lambda df, vectors, plain, names, score: score)
+    monkeypatch.setattr(NeuralScorer, "_sent", lambda self, df, part: Sent(self.weights[part]))
+    m = NeuralScorer.seeded(ModelConfig(model_kind="transformer", hidden_dim=64, attach_hidden_dim=64, attach_head_kind="hybrid", traversal_output_dim=5), seed=4)
+    n, rng = 1030, np.random.default_rng(5)
+    widths = {"attach": (32, 32, 64, 64, 32, 32, 32), "edge": (32, 32, 16, 32, 32)}[part]
+    given = [B.Rows(rng.standard_normal((n, k)), np.full(n, k), rng.random(n) > 0.1) for k in widths] + ([rng.random(n), np.zeros(n)] if part == "edge" else [])
+    score = m.attach_column(None) if part == "attach" else m.edge_columns(None)
+    tracemalloc.start()
+    got = score(*given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6, "memory grows with a block, not with the batch"
+    for i in (0, 63, 64, 128, n - 1):
+        alone = score(*[B.Rows(g.x[[i]], g.size[[i]], g.there[[i]]) if isinstance(g, B.Rows) else g[[i]] for g in given])
+        assert all(len(got[s]) == n and np.allclose(got[s][i], alone[s][0], atol=1e-12, equal_nan=True) for s in got)
+
+
 def test_model_config():
     assert ModelConfig.from_manifest({"dims": {"query": 8, "full": 9}}, hidden_dim=4) == ModelConfig(query_dim=8, full_dim=9, hidden_dim=4)
     for bad in (dict(model_kind="x"), dict(attach_head_kind="x"), dict(traversal_output_dim=4)):
