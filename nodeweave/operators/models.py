@@ -284,7 +284,7 @@ class NeuralScorer:
             out = np.where(there[:, None], out, np.nan)
             return dict(zip(SCORES, [*out.T, out[:, 2]] if out.shape[1] == 5 else out.T))
 
-        return with_scores(df, ["query", "cur_eff", "edge_vector", "dst_eff", "path"], ["confidence", "hop"], SCORES, score)
+        return with_scores(df, ["query", "cur_eff", "edge_vector", "dst_eff", "path"], ["confidence", "hop"], SCORES, in_blocks(score))
 
     def attach_column(self, df: DataFrame) -> DataFrame:
         c, sent = self.config, self._sent(df, "attach")

@@ -13,7 +13,7 @@ from nodeweave.operators.graph import current_nodes, edge_faults, graph, query_n
 from nodeweave.operators.models import ModelConfig, NeuralScorer
 from nodeweave.operators.scorers import SCORES, HeuristicScorer, RelationScorer, bootstrap_teacher
 from nodeweave.plans.insert import InsertConfig, attach, attached_edges
-from nodeweave.plans.traverse import TraversalConfig, node_side, ranked, traverse
+from nodeweave.plans.traverse import TraversalConfig, ranked, traverse
 from nodeweave.session import held, stage
 from nodeweave.sources.tables import table
 
@@ -126,12 +126,15 @@ def seed_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edge_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Scorer input for every kept edge: its source's summary is the query and its source the path."""
-    n, e = graph(spark, d)
-    side = stage(node_side(n, 32).withColumn("path", B.unit_column("eff")), "nodes")
+    """Scorer input for every kept edge: its source's summary is the query and its source the path. Vectors travel as for attaching."""
+    _, e = graph(spark, d)
+    n = current_nodes(table(spark, d, "node_frame"), ["summary_vector", "full_vector", "metadata_vector"])
+    side = stage(n.select("node_id", B.effective_column("summary_vector", "metadata_vector", 32).alias("eff"), F.col("summary_vector").alias("summary"), F.col("full_vector").alias("full")).withColumn("path", B.unit_column("eff")), "nodes")
     src = side.select(F.col("node_id").alias("src_id"), F.col("summary").alias("query"), F.col("eff").alias("cur_eff"), "path")
     dst = side.select(F.col("node_id").alias("dst_id"), F.col("eff").alias("dst_eff"), F.col("summary").alias("dst_summary"), F.col("full").alias("dst_full"))
-    return e.select("src_id", "dst_id", V.vec("edge_vector").alias("edge_vector"), "confidence").join(src, "src_id").join(dst, "dst_id").withColumn("hop", F.lit(0))
+    r = e.select("src_id", "dst_id", "edge_vector", "confidence").join(src, "src_id").join(dst, "dst_id")
+    double = ("edge_vector", "query", "dst_summary", "dst_full")
+    return r.select(*[V.vec(c).alias(c) if c in double else c for c in r.columns]).withColumn("hop", F.lit(0))
 
 
 def _rounded(df: DataFrame, *keys: str) -> DataFrame:

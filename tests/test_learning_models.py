@@ -115,7 +115,7 @@ def test_models_against_plain_loops(spark, tmp_path, given):
     assert m.edge_columns(spark.createDataFrame([], EDGES)).count() == 0
 
 
-@pytest.mark.parametrize("part", ["attach"])
+@pytest.mark.parametrize("part", ["attach", "edge"])
 def test_models_work_in_small_memory_on_a_whole_batch(monkeypatch, part):
     class Sent:
         def __init__(self, value):
